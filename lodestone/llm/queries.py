@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing
+from . import language_id, line_dedup, packing, topk, warc
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -54,3 +54,20 @@ def op10_language_id(spark, d):
     docs = table(spark, d, "documents")
     found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
     return found.select("doc_id", (~in_training_fold()).alias("held_out"), "lang_pred", "score")
+
+
+@query("""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), q AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM r""")
+def op2_warc(spark, d):
+    read = warc.read_records(warc.archive(table(spark, d, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op8_topk(spark, d):
+    return topk.top_k(table(spark, d, "embeddings").select("vec_id", "embedding"))
