@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 <<
         if col.nbytes <= most or batch.num_rows <= 1:
             yield batch
             continue
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.array(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // most
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
@@ -104,8 +105,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if rest and rest[-1].column(rest[-1].schema.get_field_index(key))[-1] == last:
             rest.append(batch)
             continue
-        same = pa.compute.equal(keys, last)
-        cut = int(pa.compute.index(same, True).as_py())  # the last group begins here
+        same = pc.equal(keys, last)
+        cut = int(pc.index(same, True).as_py())  # the last group begins here
         rest.append(batch.slice(0, cut))
         yield pa.Table.from_batches(rest)
         rest = [batch.slice(cut)]

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
 
         def run(key: tuple, both: pa.Table) -> pa.Table:
             mask = both.column("is_query")
-            own, others = both.filter(mask), both.filter(pa.compute.invert(mask))
+            own, others = both.filter(mask), both.filter(pc.invert(mask))
             triples: list = []
             if own.num_rows and others.num_rows:
                 limit = np.array([-np.inf if x is None else x for x in own.column("at_least").to_pylist()], np.float64)
