@@ -20,9 +20,11 @@ any other rows; an empty table gives no rows. Columns of the input other than th
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +35,70 @@ from .common import small_batches, written
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths above capacity / LARGE_SHARE are grouped; GROUPS sizes enter the configuration program.
-LARGE_SHARE, GROUPS = 8, 48
+LARGE_SHARE, GROUPS = 4, 160
 #: Words kept in a worker's memory with their ids, and the longest of them.
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 600_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
     """A tokenizer whose words don't depend on each other: ids are remembered by word.
 
-    Holds for tokenizers that drop white space before they split. Only blanks, tabs and line ends separate words
-    here; what other white space separates goes to the tokenizer together.
+    Holds for tokenizers that drop white space and case, and split letters from punctuation. Only blanks, tabs and
+    line ends separate words here; what other white space separates goes to the tokenizer together. New words are
+    tokenized many at a time, joined by a mark whose ids end each word.
     """
 
+    MARK = "\x01"
+    POINT = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner, self.ids = Tokenizer.from_file(path), {}
+        self.mark = np.array(self.inner.encode(self.MARK, add_special_tokens=False).ids, dtype="<u4")
+        self.special = sorted(t.content for t in self.inner.get_added_tokens_decoder().values())
+
+    def words(self, text: str) -> list[str]:
+        if not any(s in text for s in self.special) and "<|" not in text:  # case matters in special tokens
+            text = self.POINT.sub(r" \1", text.encode().lower().decode())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         known = self.ids
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list(set(words) - known.keys())
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(word) <= CACHED_CHARS else extra)[word] = np.array(found.ids, dtype="<u4").tobytes()
+        lists, new = [self.words(t) for t in texts], set()
+        for words in lists:
+            new.update(filterfalse(known.__contains__, words))
+        extra = self._learn(list(new))
         if not extra:
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known[w] if w in known else extra[w] for w in words])
+            return [b"".join(map(known.__getitem__, words)) for words in lists]
+        return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in lists]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Remember the ids of words; gives those of words that are too long to keep."""
+        extra: dict[str, bytes] = {}
+        plain = [w for w in new if len(w) <= CACHED_CHARS and self.MARK not in w and "<|" not in w]
+        odd = [w for w in new if not (len(w) <= CACHED_CHARS and self.MARK not in w and "<|" not in w)]
+        between = f" {self.MARK} "
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            lines = [between.join(part[i : i + 64]) + between for i in range(0, len(part), 64)]
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.inner.encode_batch(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
+            if len(ends) != len(part):  # the mark is no id of its own
+                odd += part
+                continue
+            raw, first = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.ids[word] = raw[4 * first : 4 * end]
+                first = end + 1
+        for word in odd:
+            found = np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            (self.ids if len(word) <= CACHED_CHARS else extra)[word] = found
+        return extra
 
 
 @lru_cache(maxsize=2)
@@ -89,11 +118,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer).encode
+        encode_all = _tokenizer(tokenizer).encode_all
         for batch in small_batches(batches, "text"):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = (encode(text) if text else b"") + end
+            encoded = encode_all([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     row = (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part))
