@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, topk, warc
+from . import language_id, line_dedup, packing, topk, toxicity, warc
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -71,3 +71,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS D
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op8_topk(spark, d):
     return topk.top_k(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op9_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels"))
+    # the text is read for its words only; no other column reaches the score
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~in_training_fold()).alias("held_out"), "score", "predicted")
