@@ -117,28 +117,66 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches.
 
-    Alternating large-star and small-star steps, each written to the shared folder. A star step keeps a node's
-    neighbours no longer than its edge list and never gathers them: it needs only their minimum, joined back, and
-    joins split hot nodes. Edges never exceed those given.
+    Alternating large-star and small-star steps, each written to the shared folder. A node's neighbours are never
+    gathered: a step needs only their minimum, which is written and joined back, and such joins split hot nodes. There
+    are never more edges than at the beginning.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         # large star: each neighbour larger than u links to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: smaller neighbours and u itself link to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(after, "edges")
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    found = now.groupBy("u").agg(F.min("v").alias("component"))
-    roots = found.select(F.col("component").alias("node"), "component").distinct()
-    return found.select(F.col("u").alias("node"), "component").unionByName(roots)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: Bits of an id filter that is broadcast, and of one of its blocks.
+FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 16
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap (one hashed bit an id) of ids(id long), bits / 8 bytes whatever their number; fuller ones pass more."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(filter_places(np.asarray(batch.column(0)), bits))
+            blocks = np.unique(at // FILTER_BLOCK)
+            edge = np.searchsorted(at, np.append(blocks, blocks[-1:] + 1) * FILTER_BLOCK)
+            inner = (at % FILTER_BLOCK).astype(np.uint16)
+            parts = [inner[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "at"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}  # the blocks of this partition: a fixed share of the bits
+        for batch in batches:
+            for block, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept.setdefault(block, np.zeros(FILTER_BLOCK, bool))[np.frombuffer(at, np.uint16)] = True
+        rows = [pa.array(list(kept), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in kept.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, ["block", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    parts = ids.mapInArrow(split, "block int, at binary").repartition(max(16, bits >> 22), "block")
+    for row in parts.mapInArrow(merge, "block int, bits binary").toLocalIterator():
+        out[row.block * FILTER_BLOCK // 8 : (row.block + 1) * FILTER_BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def filter_places(ids: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+
+def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = filter_places(ids, len(bitmap) * 8)
+    return (bitmap[at >> 3] >> (at & 7)) & 1 == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, topk, toxicity, warc
+from . import language_id, line_dedup, minhash, packing, topk, toxicity, warc
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def op9_toxicity(spark, d):
     # the text is read for its words only; no other column reaches the score
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (~in_training_fold()).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op3_minhash(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"), words=2)
