@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash, packing, topk, toxicity, warc
+from . import decontamination, language_id, line_dedup, minhash, packing, topk, toxicity, url_filter, warc
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -85,3 +86,61 @@ def op9_toxicity(spark, d):
 @query()
 def op3_minhash(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"), words=2)
+
+
+@query()
+def op7_decontamination(spark, d):
+    return decontamination.contaminated(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+DAY = "2024-01-01"
+
+
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """Events of three lists for the hosts of pages, dated by a rule: the tables hold no list of their own.
+
+    n is from the host's MD5. Hosts with n % 4 < 2 are added on day n % 200; with n % 3 = 0 removed 60 days later; with
+    n % 7 = 0 added again after 120 days. The last two labels of hosts with n % 50 = 0 are added as a domain on day 300;
+    the language folder of hosts with n % 5 = 0 as a prefix on day 100.
+    """
+    h = pages.select(url_filter.host(F.col("url")).alias("h")).where("h <> ''").distinct()
+    h = h.withColumn("n", F.conv(F.substring(F.md5("h"), 1, 6), 16, 10).cast("int"))
+    domain = F.array_join(F.slice(F.split("h", r"\."), -2, 2), ".")
+
+    def event(test: str, name: str, kind: str, value, action: str, day):
+        at = F.date_add(F.lit(DAY).cast("date"), day).cast("timestamp")
+        return h.where(test).select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(action).alias("action"), at.alias("at"))
+
+    first, host = (F.col("n") % 200).cast("int"), F.col("h")
+    events = event("n % 4 < 2", "hosts", "host", host, "add", first)
+    for part in (
+        event("n % 4 < 2 AND n % 3 = 0", "hosts", "host", host, "remove", first + 60),
+        event("n % 4 < 2 AND n % 7 = 0", "hosts", "host", host, "add", first + 120),
+        event("n % 50 = 0 AND h LIKE '%.%.%'", "domains", "domain", domain, "add", F.lit(300)).distinct(),
+        event("n % 5 = 0", "folders", "prefix", F.concat(host, F.lit("/en")), "add", F.lit(100)),
+    ):
+        events = events.unionByName(part)
+    return events
+
+
+HOST_SQL = r"rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.')"
+
+
+@query(rf"""WITH c AS (SELECT page_id, {HOST_SQL} AS h, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)) AS p, CAST(page_id * 7 % 366 AS INTEGER) AS day FROM pages),
+hosts AS (SELECT DISTINCT h, CAST('0x' || substring(md5(h), 1, 6) AS INTEGER) AS n FROM c WHERE h <> ''),
+ev AS (SELECT h, n % 200 AS d, 1 AS a FROM hosts WHERE n % 4 < 2 UNION ALL SELECT h, n % 200 + 60, 0 FROM hosts WHERE n % 4 < 2 AND n % 3 = 0 UNION ALL SELECT h, n % 200 + 120, 1 FROM hosts WHERE n % 4 < 2 AND n % 7 = 0),
+hit AS (SELECT c.page_id, 1 AS e FROM c JOIN (SELECT c.page_id, arg_max(a, d) AS a FROM c JOIN ev ON c.h = ev.h AND ev.d <= c.day GROUP BY 1) s ON c.page_id = s.page_id AND s.a = 1
+UNION ALL SELECT page_id, 1 FROM c JOIN hosts USING (h) WHERE n % 5 = 0 AND day >= 100 AND (p = '/en' OR p LIKE '/en/%')
+UNION ALL SELECT page_id, 1 FROM c WHERE day >= 300 AND len(string_split(h, '.')) >= 2 AND EXISTS (SELECT 1 FROM hosts WHERE n % 50 = 0 AND hosts.h LIKE '%.%.%'
+AND array_to_string(list_slice(string_split(hosts.h, '.'), -2, -1), '.') = array_to_string(list_slice(string_split(c.h, '.'), -2, -1), '.')))
+SELECT c.page_id, count(hit.e) > 0 AS blocked, count(hit.e) AS n_entries FROM c LEFT JOIN hit USING (page_id) GROUP BY 1""")
+def op6_url_filter(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    day = (F.col("page_id") * 7 % 366).cast("int")
+    captures = pages.withColumn("at", F.date_add(F.lit(DAY).cast("date"), day).cast("timestamp"))
+    return url_filter.judge(captures, dated_lists(pages)).select("page_id", "blocked", "n_entries")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
