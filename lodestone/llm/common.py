@@ -55,9 +55,14 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and any lost executor's part can be read again."""
+def written(df: DataFrame, name: str, rows: int | None = None, per_part: int = 200_000) -> DataFrame:
+    """df as a table in the shared folder: computed once, and any lost executor's part can be read again.
+
+    With a bound of its rows it gets no more files than they need.
+    """
     path = new_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // per_part)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -114,24 +119,34 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task joins by union and find: 16 MB of ids.
+LOCAL_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches.
 
-    Alternating large-star and small-star steps, each written to the shared folder. A node's neighbours are never
-    gathered: a step needs only their minimum, which is written and joined back, and such joins split hot nodes. There
-    are never more edges than at the beginning.
+    Up to local_edges edges are joined in a single task on an executor. More take alternating large-star and
+    small-star steps, each written to the shared folder. A node's neighbours are never gathered there: a step needs
+    only their minimum, which is written and joined back, and such joins split hot nodes. There are never more edges
+    than at the beginning.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = written(pairs, "edges")
+    n = now.count()
+    if n <= local_edges:
+        return now.coalesce(1).mapInArrow(_union_find, "node long, component long")
     seen = None
     for _ in range(rounds):
         # large star: each neighbour larger than u links to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", n)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large", n)
         # small star: smaller neighbours and u itself link to the smallest of them
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", n)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -142,6 +157,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    nodes = list(up)
+    arrays = [pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())]
+    yield pa.RecordBatch.from_arrays(arrays, ["node", "component"])
+
+
 #: Bits of an id filter that is broadcast, and of one of its blocks.
 FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 16
 

@@ -256,7 +256,7 @@ def link(rows: DataFrame, compare, columns: list[str], block: int, block_weight:
     """(edges, sizes): edges within groups g of rows(g, id, w, *columns); sizes of groups of several blocks, if any."""
     weight = F.ceil(F.sum("w") / block_weight) if block_weight else F.lit(1)
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / block), weight).cast("long").alias("blocks"))
-    many = written(sizes.where("blocks > 1"), "groups")
+    many = written(sizes.where("blocks > 1"), "groups", 0)
     if not many.limit(1).count():
         return _dealt(rows, ["g"], compare, columns), None
     placed = rows.join(many, "g", "left")
@@ -274,7 +274,7 @@ def link_rest(rows: DataFrame, many: DataFrame, found: DataFrame, compare, colum
     placed = rows.join(many, "g").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     shares = placed.groupBy("g", "component").agg(F.count("*").alias("c"))
-    top = written(shares.groupBy("g").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("c")), "top")
+    top = written(shares.groupBy("g").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("c")), "top", 0)
     top = top.where("c < all").withColumn("chunks", F.ceil((F.col("all") - F.col("c")) / (block // 2)).cast("long"))
     placed = placed.join(top.select("g", "top", "chunks"), "g")
     zero = F.lit(0).cast("long")
@@ -286,11 +286,11 @@ def link_rest(rows: DataFrame, many: DataFrame, found: DataFrame, compare, colum
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(node, component): coarse groups of classes(id, sig) that the trees' comparisons connect."""
-    now, edges, clusters = first_nodes(classes), None, []
+    now, edges, clusters, n = first_nodes(classes), None, [], classes.count()
     for depth in range(1, DEPTH + 1):
         now = written(now, "nodes")
         sizes = now.groupBy("g").agg(F.count("*").alias("n"), F.max("parent_n").alias("p"))
-        large = written(sizes.where(F.col("n") > LEAF), "large")
+        large = written(sizes.where(F.col("n") > LEAF), "large", n // LEAF)
         if not large.limit(1).count():
             leaf, branched = now, None
         else:
@@ -300,7 +300,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             stop = stop & (F.col("p") > 0)
             clusters.append(joined.where(F.col("n").isNotNull() & stop).select("g", "id", "token"))
             branched = joined.where(F.col("n").isNotNull() & ~stop).select("g", "id", "n", "token")
-        found = written(_dealt(leaf, ["g"], compare_tokens, ["token"]).distinct(), "candidates")
+        found = written(_dealt(leaf, ["g"], compare_tokens, ["token"]).distinct(), "candidates", n)
         edges = found if edges is None else edges.unionByName(found)
         if branched is None or not branched.limit(1).count():
             break
@@ -311,10 +311,10 @@ def candidates(classes: DataFrame) -> DataFrame:
             rows = rows.unionByName(more)
         rows = written(rows.withColumn("w", F.lit(1)), "clusters")
         inner, many = link(rows, compare_tokens, ["token"], BLOCK)
-        edges = written(edges.unionByName(inner).distinct(), "candidates")
+        edges = edges.unionByName(written(inner.distinct(), "candidates", n))
         if many is not None:
             found = written(components(edges), "coarse")
-            rest = written(link_rest(rows, many, found, compare_tokens, ["token"], BLOCK).distinct(), "candidates")
+            rest = written(link_rest(rows, many, found, compare_tokens, ["token"], BLOCK).distinct(), "candidates", n)
             if not rest.limit(1).count():
                 return found
             edges = edges.unionByName(rest)
@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sketched = written(sketches(docs, words), "sketches")
     with_set = sketched.where("n > 0 AND doc_id IS NOT NULL")
     first = F.min_by(F.struct("n", "sig"), "doc_id").alias("s")
-    classes = written(with_set.groupBy("key").agg(F.min("doc_id").alias("id"), first).select("key", "id", "s.n", "s.sig"), "classes")
+    classes = written(with_set.groupBy("key").agg(F.min("doc_id").alias("id"), first).select("key", "id", "s.n", "s.sig"), "classes", sketched.count(), 50_000)
+    n = classes.count()
     groups = candidates(classes)
     members = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
     bitmap = spark.sparkContext.broadcast(id_filter(members.select("id")))
@@ -346,14 +347,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = written(rows.join(members, "id"), "sets")
     compare, columns = compare_sets(percent), ["token", "set"]
     edges, many = link(rows, compare, columns, BLOCK, BLOCK_SHINGLES)
-    edges = written(edges.distinct(), "links")
+    edges = written(edges.distinct(), "links", n)
     found = written(components(edges), "components")
     if many is not None:
-        rest = written(link_rest(rows, many, found, compare, columns, BLOCK).distinct(), "links")
+        rest = written(link_rest(rows, many, found, compare, columns, BLOCK).distinct(), "links", n)
         if rest.limit(1).count():
             found = written(components(edges.unionByName(rest)), "components")
     own = found.select(F.col("node").alias("id"), "component")
-    known = written(classes.select("key", "id").join(own, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "classes")
+    known = written(classes.select("key", "id").join(own, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "classes", n)
     placed = sketched.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
