@@ -213,3 +213,48 @@ def filter_places(ids: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
 def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     at = filter_places(ids, len(bitmap) * 8)
     return (bitmap[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def seen_parts(keys: np.ndarray, counts: np.ndarray, places, bits: int, block_bits: int) -> pa.RecordBatch:
+    """One task's two Bloom filters as (block, once, twice): places within a block as 16-bit numbers."""
+    found = [np.unique(places(keys[m], bits)) for m in (counts == 1, counts > 1)]
+    blocks = np.unique(np.concatenate(found) // block_bits)
+    arrays = [pa.array(blocks.astype(np.int32))]
+    for at in found:
+        edge = np.searchsorted(at, np.append(blocks, blocks[-1:] + 1) * block_bits)
+        inner = (at % block_bits).astype(np.uint16)
+        arrays.append(pa.array([inner[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["block", "once", "twice"])
+
+
+def twice_seen(parts: DataFrame, bits: int, block_bits: int) -> np.ndarray:
+    """The merged twice-seen filter of parts(block, once, twice): bits / 8 bytes."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, once, twice = None, None, None
+
+        def done() -> pa.RecordBatch:
+            kept = np.packbits(twice, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kept], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for at, o, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != block:
+                    if block is not None and twice.any():
+                        yield done()
+                    block, once, twice = at, np.zeros(block_bits, bool), np.zeros(block_bits, bool)
+                o, t = np.frombuffer(o, np.uint16), np.frombuffer(t, np.uint16)
+                twice[o[once[o]]] = True  # once here and once before
+                twice[t] = True
+                once[o] = True
+                once[t] = True
+        if block is not None and twice.any():
+            yield done()
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in merged.toLocalIterator():  # bits / 8 bytes at most
+        at = row.block * block_bits // 8
+        out[at : at + block_bits // 8] = np.frombuffer(row.bits, np.uint8)
+    return out

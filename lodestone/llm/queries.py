@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, minhash, packing, topk, toxicity, url_filter, warc
+from . import decontamination, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity, url_filter, warc
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -144,3 +144,8 @@ def op6_url_filter(spark, d):
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query()
+def op4_substring_dedup(spark, d):
+    return substring_dedup.repeated_passages(table(spark, d, "documents").select("doc_id", "text"))
