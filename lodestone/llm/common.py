@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +85,14 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: workers live on, and the next stage's come on top of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of a string column, so that memory follows a text's size."""
     for batch in batches:
@@ -94,6 +105,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 <<
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+    batch = col = None
+    release()
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -117,6 +130,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         rest = [batch.slice(cut)]
     if rest:
         yield pa.Table.from_batches(rest)
+    rest = batch = None
+    release()
 
 
 #: Edges that one task joins by union and find: 16 MB of ids.

@@ -28,7 +28,7 @@ from .common import hash_below, in_training_fold, small_batches
 ORDER, TRAIN_BYTES, PAD = 3, 1_500_000, b"   "
 UNKNOWN = "und"
 #: Bytes that are scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass
