@@ -186,6 +186,34 @@ def test_repeated_passages(docs_of):
     assert substring_dedup.repeated_passages(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_passages_of_exact_copies(spark, monkeypatch, few):
+    """A copy's row spans its whole text, whether the copies' ids are broadcast or shuffled."""
+    monkeypatch.setattr(substring_dedup, "FEW_COPIES", few)
+    rng = random.Random(21)
+    text, short = words(rng, 80, 10**6), "too short to count"
+    rows = [(1, words(rng, 80, 10**6)), (2, text), (3, text), (3, text), (4, short), (5, short), (6, None), (7, None), (8, ""), (9, ""), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.repeated_passages(docs).collect()] == [(3, 0, 80, 2, 0, 1.0)]
+
+
+def test_exact_part_with_a_shingle_that_the_partner_has_twice():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 32, 46, dtype=np.uint32)
+    other = np.concatenate([passage[20:22], rng.integers(0, 1 << 32, 90, dtype=np.uint32), passage])
+    own = np.concatenate([other[30:34], rng.integers(0, 1 << 32, 8, dtype=np.uint32), passage, rng.integers(0, 1 << 32, 5, dtype=np.uint32), other[40:60]])
+    found = substring_dedup.verify([(100, own)], other, 46, 80)
+    assert found == [(112, 157, 92, 1.0)]
+
+
+@pytest.mark.parametrize("t", [1, 3, 46, 50])
+def test_grams_are_equal_where_the_stretches_are(t):
+    x = np.random.default_rng(4).integers(0, 2, 50).astype(np.uint32)
+    g = substring_dedup.grams(x, t)
+    assert len(g) == 51 - t and len(substring_dedup.grams(x[: t - 1], t)) == 0
+    assert all((g[i] == g[j]) == (x[i : i + t] == x[j : j + t]).all() for i in range(len(g)) for j in range(len(g)))
+
+
 def test_compact_windows_partition_all_stretches():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 50, 60).astype(np.uint64)
