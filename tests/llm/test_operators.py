@@ -206,6 +206,52 @@ def test_exact_part_with_a_shingle_that_the_partner_has_twice():
     assert found == [(112, 157, 92, 1.0)]
 
 
+def best_similarity(own, other):
+    """The largest Jaccard similarity of the whole of own with any stretch of 46 shingles or more of the other text."""
+    x, best = set(own.tolist()), 0
+    for a in range(len(other)):
+        y, common = set(), 0
+        for k, v in enumerate(other[a : a + 2 * len(own)].tolist()):
+            common += v in x and v not in y
+            y.add(v)
+            if k >= 45:
+                best = max(best, common / (len(x) + len(y) - common))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_near_passages_equal_brute_force(seed):
+    """Passages of 50 to 100 words with changed, added and left out words are found from 0.8 on, and reported rows are so similar."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 1 << 40, 50 if seed < 10 else int(rng.integers(50, 101)), dtype=np.uint64)
+    copy, at = passage.copy(), len(passage) // 2
+    if seed < 20:  # one changed word in the middle
+        copy[at] += np.uint64(1)
+    elif seed < 30:
+        copy = np.insert(copy, at, rng.integers(0, 1 << 40, 7, dtype=np.uint64))
+    elif seed < 40:
+        copy[[at, at + 5]] += np.uint64(1)
+    elif seed < 50:
+        copy = np.delete(copy, slice(at, at + 4))
+    else:
+        copy[rng.integers(3, len(copy) - 3, 2)] += np.uint64(1)
+    noise = [rng.integers(0, 1 << 40, 60, dtype=np.uint64) for _ in range(4)]
+    own = shingles.shingles(np.concatenate([noise[0], passage, noise[1]]), 5)
+    other = shingles.shingles(np.concatenate([noise[2], copy, noise[3]]), 5)
+    first, last = 60, 60 + len(passage) - 5
+    real = best_similarity(own[first : last + 1], other)
+    found = substring_dedup.verify([(0, own)], other, 46, 80)
+    there = np.flatnonzero(np.isin(own[first : last + 1], other)) + first  # changed ends may be left out
+    assert real < 0.8 or all(any(a <= p <= b for a, b, _, _ in found) for p in there)
+    for a, b, _, similarity in found:
+        assert b - a + 1 >= 46 and similarity >= 0.8 and best_similarity(own[a : b + 1], other) >= similarity - 1e-9
+
+
+def test_cover_keeps_all_places():
+    found = [(0, 60, 0, 1.0), (10, 70, 0, 1.0), (20, 80, 0, 1.0), (90, 140, 0, 1.0)]
+    assert substring_dedup._cover(found) == [found[0], found[2], found[3]]
+
+
 @pytest.mark.parametrize("t", [1, 3, 46, 50])
 def test_grams_are_equal_where_the_stretches_are(t):
     x = np.random.default_rng(4).integers(0, 2, 50).astype(np.uint32)
