@@ -206,6 +206,18 @@ def test_exact_part_with_a_shingle_that_the_partner_has_twice():
     assert found == [(112, 157, 92, 1.0)]
 
 
+def test_recall_of_near_passages(docs_of):
+    """Of 400 passages of 54 words with one changed (similarity 0.82) no more are lost than by five functions with two needed."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(400):
+        passage = words(rng, 54, 10**9).split(" ")
+        for middle in (passage[27], "changed"):
+            texts.append(" ".join([words(rng, 60, 10**9), *passage[:27], middle, *passage[28:], words(rng, 60, 10**9)]))
+    found = {(r.doc_id, r.partner_id) for r in substring_dedup.repeated_passages(docs_of(texts)).collect() if r.start <= 60 and r.start + r.n_words >= 114}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(400)} and len(found) >= 394
+
+
 def best_similarity(own, other):
     """The largest Jaccard similarity of the whole of own with any stretch of 46 shingles or more of the other text."""
     x, best = set(own.tolist()), 0
