@@ -218,6 +218,23 @@ def test_recall_of_near_passages(docs_of):
     assert found <= {(2 * i + 1, 2 * i) for i in range(400)} and len(found) >= 394
 
 
+@pytest.mark.parametrize("copies", [12, 40])
+def test_passages_that_no_anchor_has(docs_of, copies):
+    """Near copies of a template, edited where two of them have 50 words of their own: under few and many windows a key."""
+    rng = random.Random(41)
+    template = [f"w{i}x" for i in range(200)]
+    texts = []
+    for i in range(copies):
+        text = list(template)
+        for at in range(0, 200, 10):  # no two share 50 words, but for the last two
+            if i < copies - 2 or not 70 <= at < 130:
+                text[at + rng.randrange(10)] = f"e{i}x{at}"
+        texts.append(" ".join(text))
+    got = substring_dedup.repeated_passages(docs_of(texts)).collect()
+    assert brute.passages(list(enumerate(texts)), 50) == {copies - 2, copies - 1}
+    assert any(r.doc_id == copies - 1 and r.partner_id == copies - 2 for r in got)
+
+
 def best_similarity(own, other):
     """The largest Jaccard similarity of the whole of own with any stretch of 46 shingles or more of the other text."""
     x, best = set(own.tolist()), 0
