@@ -2,7 +2,7 @@
 
 1. Texts become lower-case words and hashes of WIDTH words (shingles). A window that is as similar to an item as asked
    shares a shingle with it, so windows are laid where a document's shingle is one of an item's: as long as the item,
-   with that shingle in the item's place, and moved into the text where they would stick out.
+   with that shingle in the item's place or at the window's start, and moved into the text where they would stick out.
 2. Each window's shingles make a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks; two of at most RADIUS
    different bits agree in a block, so an equi-join on (item size, block, value) finds all of them.
 3. Candidates within the radius are verified: the weighted Jaccard similarity of shingles, weights being how often a
@@ -89,7 +89,16 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int) -> D
     spots = grams.select("x", "m", "q").distinct()
     hits = exploded.join(_maybe_broadcast(spots, n_grams), "x")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-    windows = written(hits.select("doc_id", "m", start.alias("start")).distinct(), "windows")
+    in_place = hits.select("doc_id", "m", start.alias("start"))
+    # a window may be moved right to its first shared shingle, or to the text's end: none is lost, whatever the order of
+    # the item's parts; it needs as many hits as the similarity has common shingles
+    places = hits.groupBy("doc_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    need = F.expr(f"CAST(ceil({percent} * (least(n, m) + m) / {100 + percent}) AS int)")
+    places = places.withColumn("need", need).where("size(at) >= need").withColumn("end", F.greatest(F.lit(0), F.col("n") - F.col("m")))
+    moved = places.select("doc_id", "m", "at", "need", "end", F.posexplode("at").alias("i", "p"))
+    moved = moved.where("p < end AND i + need <= size(at)").where("get(at, i + need - 1) < p + m").select("doc_id", "m", F.col("p").alias("start"))
+    last = places.where("size(filter(at, x -> x >= end)) >= need").select("doc_id", "m", F.col("end").alias("start"))
+    windows = written(in_place.unionByName(moved).unionByName(last).distinct(), "windows")
     ids = windows.select("doc_id").distinct()
     again = texts.join(_maybe_broadcast(ids, ids.count()), "doc_id", "left_semi")
     again = again.select("doc_id", F.expr(_words("t")).alias("w")).select("doc_id", F.expr(_shingles("w", width)).alias("h"))

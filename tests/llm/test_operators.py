@@ -349,6 +349,15 @@ def test_decontamination(docs_of, spark):
     assert decontamination.clean(docs_of(texts), bench.limit(0)).count() == len(texts)
 
 
+def test_item_with_swapped_halves_is_found(docs_of, spark):
+    rng = random.Random(51)
+    item = words(rng, 100, 10**6).split(" ")
+    text = " ".join([words(rng, 150, 10**6), *item[50:], *item[:50], words(rng, 150, 10**6)])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = decontamination.contaminated(docs_of([text]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start) for r in rows] == [(0, 7, 150)] and rows[0].similarity == 92 / 100
+
+
 # --- 8 top k
 
 
