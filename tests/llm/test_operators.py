@@ -289,14 +289,24 @@ def test_grams_are_equal_where_the_stretches_are(t):
     assert all((g[i] == g[j]) == (x[i : i + t] == x[j : j + t]).all() for i in range(len(g)) for j in range(len(g)))
 
 
-def test_compact_windows_partition_all_stretches():
+@pytest.mark.parametrize("alphabet", [2, 50, 10**9])
+def test_compact_windows_hold_all_stretches(alphabet):
+    """Each stretch of t places or more is within exactly one limit pair of windows with its minimum, equal minima included."""
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 50, 60).astype(np.uint64)
-    windows = substring_dedup.compact_windows(x, 7)
-    for i in range(60):
-        for j in range(i + 6, 60):
-            own = [w for w in windows if w[0] <= i <= w[1] <= j <= w[2]]
-            assert len(own) == 1 and x[own[0][1]] == x[i : j + 1].min()
+    sequences = [rng.integers(0, alphabet, n).astype(np.uint64) for n in (60, 3, 7, 0, 40)]
+    salts = np.array([5, 9], np.uint64)
+    found = {}
+    for k, which, low, left, c, right in substring_dedup.compact_windows(sequences, 7, salts):
+        for w, v, a, m, b in zip(which.tolist(), low.tolist(), left.tolist(), c.tolist(), right.tolist()):
+            assert a <= m <= b and b - a >= 6
+            found.setdefault((k, w), set()).add((v, a, b))
+    assert {w for _, w in found} == {0, 2, 4}
+    for k, salt in enumerate(salts):
+        for w in (0, 2, 4):
+            x = (shingles.mix(sequences[w] ^ salt) >> np.uint64(20)).tolist()
+            for i in range(len(x)):
+                for j in range(i + 6, len(x)):
+                    assert len([1 for v, a, b in found[k, w] if a <= i and j <= b and v == min(x[i : j + 1])]) == 1
 
 
 # --- 5 lines
