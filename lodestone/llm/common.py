@@ -65,11 +65,16 @@ def written(df: DataFrame, name: str, rows: int | None = None, per_part: int = 2
     """
     path = new_folder(df.sparkSession, name)
     if rows is not None:
-        df = df.coalesce(max(8, -(-rows // per_part)))
+        df = df.coalesce(tasks(rows, per_part))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(rows: int, each: int) -> int:
+    """Tasks for so many rows of which one task takes `each`: as many as the data need, whatever shuffles are dealt into."""
+    return max(8, -(-rows // each))
+
+
 def in_training_fold(doc_id: str = "doc_id"):
     """Rows whose crc32(doc_id as text) mod 5 is not 0; a null id is not in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(False))
@@ -215,7 +220,8 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(rows, ["block", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    parts = ids.mapInArrow(split, "block int, at binary").repartition(max(16, bits >> 22), "block")
+    n = max(16, bits >> 22)
+    parts = ids.mapInArrow(split, "block int, at binary").repartition(n, "block").coalesce(n)
     for row in parts.mapInArrow(merge, "block int, bits binary").toLocalIterator():
         out[row.block * FILTER_BLOCK // 8 : (row.block + 1) * FILTER_BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return out
@@ -267,7 +273,7 @@ def twice_seen(parts: DataFrame, bits: int, block_bits: int) -> np.ndarray:
             yield done()
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    merged = parts.repartition(n, "block").sortWithinPartitions("block").coalesce(max(8, bits >> 22)).mapInArrow(merge, "block int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():  # bits / 8 bytes at most
         at = row.block * block_bits // 8
