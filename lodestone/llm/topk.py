@@ -10,7 +10,9 @@ vector has norm l needs a cosine of at least t / (|q| l):
 - low: length pruning. Vectors shorter than t / |q| are skipped.
 
 All that is left is verified by integer products, so results are exact. First thresholds come from the longest
-vectors, and each block is searched with them; ties go to the smaller id.
+vectors. Then queries are grouped by the length that a vector needs to reach their threshold, and a group is dealt only
+to the blocks that are long enough for it: blocks and groups are numbered so that those are a prefix and a suffix, and
+neither queries nor vectors travel to the other pairs. Ties go to the smaller id.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; shorter
 vectors count as ending in zeros; equal vectors are different candidates; an empty table gives no rows. A query's own
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,6 +34,8 @@ from .common import written
 K, SCALE, EVERY = 5, 256, 50
 #: Ratio of the norms within a bucket, rows of a block, queries of a block.
 RATIO, BLOCK, QUERIES = 1.1, 4096, 1024
+#: Ranges of needed lengths that queries are grouped by.
+RANGES = 64
 #: From this cosine on coordinates are looked at, and so many of them.
 COORDINATE_FROM, COORDINATES = 0.6, 3
 
@@ -109,42 +113,58 @@ def search_block(qid: np.ndarray, q: np.ndarray, limit: np.ndarray, ids: np.ndar
     return out
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by `every`."""
+def dealt_pairs(blocks: dict[int, tuple[int, int]], longest: dict[int, float], ranges: list[tuple[int, int, float]], lead: set[int]) -> tuple[dict[int, int], dict[int, int], dict[str, int]]:
+    """(first group of each bucket, blocks of each range, counts of pairs dealt out and skipped).
+
+    blocks: (first, number) by bucket, in descending order of lengths; ranges: (first group, groups, least needed
+    length), in descending order of that.
+    """
+    groups = sum(n for _, n, _ in ranges)
+    first_group, last_block = {}, {}
+    for b in blocks:
+        first_group[b] = next((g for g, _, need in ranges if need <= longest[b]), groups)
+    for i, (_, _, need) in enumerate(ranges):
+        last_block[i] = max((f + n for b, (f, n) in blocks.items() if longest[b] >= need), default=0)
+    in_lead = {b: sum(f <= x < f + n for x in lead) for b, (f, n) in blocks.items()}
+    every = groups * sum(n - in_lead[b] for b, (_, n) in blocks.items())
+    dealt = sum((groups - first_group[b]) * (n - in_lead[b]) for b, (_, n) in blocks.items())
+    return first_group, last_block, {"dealt": dealt, "skipped": every - dealt}
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES, report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by `every`.
+
+    report gets the numbers of pairs of a group and a block that are dealt out and skipped.
+    """
     spark = vectors.sparkSession
-    bucket = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / float(np.log(RATIO)))).otherwise(-1).cast("long")
+    bucket = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / float(np.log(RATIO)))).otherwise(-1_000_000).cast("long")
     rows = written(integers(vectors, id_column, vector, scale).withColumn("bucket", bucket), "vectors")
     # a row a bucket: norms of doubles give a few thousand at most
-    counts = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    counts = {r["bucket"]: (r["n"], r["m"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("m")).collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks, first = {}, 0
+    blocks, total = {}, 0
     for b in sorted(counts, reverse=True):
-        n = -(-counts[b] // block)
-        blocks[b] = (first, n)
-        first += n
-    total = first
+        n = -(-counts[b][0] // block)
+        blocks[b] = (total, n)
+        total += n
     table = F.broadcast(spark.createDataFrame([(b, s, n) for b, (s, n) in blocks.items()], "bucket long, first long, n long"))
-    placed = rows.join(table, "bucket").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), "n")).alias("block"))
+    placed = rows.join(table, "bucket").select("id", "v", "bucket", (F.col("first") + F.pmod(F.xxhash64("id"), "n")).alias("block"))
     is_query = F.pmod("id", F.lit(every)) == 0
     n_queries = rows.where(is_query).count()
     groups = max(1, -(-n_queries // query_block))
-    queries = rows.where(is_query).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"))
+    queries = rows.where(is_query).select("id", "v", "norm")
     lead, seen = [], 0  # blocks of the longest vectors that give first thresholds
     for b in sorted(counts, reverse=True):
-        lead += range(blocks[b][0], blocks[b][0] + blocks[b][1])
-        seen += counts[b]
-        if seen >= 16 * k:
+        lead += range(blocks[b][0], blocks[b][0] + min(2, blocks[b][1]))
+        seen += counts[b][0]
+        if seen >= 16 * k:  # of the buckets before, each has less than this: few rows in all
             break
-    lead = lead[:2]
     found = "query_id long, vec_id long, score long"
 
-    def searched(queries: DataFrame, placed: DataFrame, wanted: list[int]) -> DataFrame:
-        """Each query group meets each wanted block once; (group, block) is dealt out as a key."""
-        all_blocks = F.explode(F.array(*[F.lit(w).cast("long") for w in wanted])) if len(wanted) < 64 else F.explode(F.sequence(F.lit(wanted[0]).cast("long"), F.lit(wanted[-1]).cast("long")))
-        all_groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
-        left = queries.withColumn("block", all_blocks).select("group", "block", "id", "v", "at_least", F.lit(True).alias("is_query"))
-        right = placed.where(F.col("block").isin(wanted) if len(wanted) < 64 else F.lit(True)).withColumn("group", all_groups)
+    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Queries (group, block, id, v, at_least) and vectors (group, block, id, v) of the same group and block."""
+        left = left.select("group", "block", "id", "v", "at_least", F.lit(True).alias("is_query"))
         right = right.select("group", "block", "id", "v", F.lit(None).cast("long").alias("at_least"), F.lit(False).alias("is_query"))
 
         def run(key: tuple, both: pa.Table) -> pa.Table:
@@ -163,12 +183,41 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    none = F.lit(None).cast("long").alias("at_least")
-    led = written(best(searched(queries.withColumn("at_least", none), placed, lead)), "lead")
+    def numbers(a: int, b: int) -> Column:
+        return F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"))
+
+    first = queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in lead])))
+    leaders = placed.where(F.col("block").isin(lead)).withColumn("group", F.explode(numbers(0, groups - 1)))
+    led = written(best(searched(first.withColumn("at_least", F.lit(None).cast("long")), leaders)), "lead")
+    hits = led.select("query_id", "vec_id", "score")
+    if total == len(lead):
+        return best(hits).select("query_id", "rank", "vec_id", "score")
     limits = led.groupBy("query_id").agg(F.min("score").alias("at_least"), F.count("*").alias("n")).where(F.col("n") == k)
     known = queries.join(limits.select(F.col("query_id").alias("id"), "at_least"), "id", "left")
-    rest = [b for b in range(total) if b not in set(lead)]
-    hits = led.select("query_id", "vec_id", "score")
-    if rest:
-        hits = hits.unionByName(searched(known, placed.where(~F.col("block").isin(lead)), rest))
+    # the length that a vector needs; without a threshold above 0 any will do
+    need = F.when((F.col("at_least") > 0) & (F.col("norm") > 0), F.col("at_least") / F.col("norm") * (1 - 1e-9)).otherwise(0.0)
+    known = known.withColumn("need", need)
+    parts = min(groups, RANGES)
+    cuts = sorted(set(known.agg(F.percentile_approx("need", [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] if parts > 1 else []), reverse=True)
+    known = known.withColumn("range", sum((F.lit(c) > F.col("need")).cast("int") for c in cuts) if cuts else F.lit(0))
+    per_range = known.groupBy("range").agg(F.count("*").alias("n"), F.min("need").alias("need")).orderBy("range").collect()  # RANGES rows at most
+    ranges, names, at = [], [], 0
+    for r in per_range:
+        n = -(-r["n"] // query_block)
+        ranges.append((at, n, r["need"]))
+        names.append(r["range"])
+        at += n
+    first_group, last_block, counted = dealt_pairs(blocks, {b: m for b, (_, m) in counts.items()}, ranges, set(lead))
+    if report is not None:
+        report.update(counted)
+    dealt = [(names[i], f, n, last_block[i]) for i, (f, n, _) in enumerate(ranges) if last_block[i]]
+    wanted = [(b, g) for b, g in first_group.items() if g < at]
+    if not dealt or not wanted:
+        return best(hits).select("query_id", "rank", "vec_id", "score")
+    of_range = F.broadcast(spark.createDataFrame(dealt, "range int, f long, n long, last long"))
+    of_bucket = F.broadcast(spark.createDataFrame(wanted, "bucket long, g long"))
+    left = known.join(of_range, "range").withColumn("group", F.col("f") + F.pmod(F.xxhash64("id"), "n"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - 1))).where(~F.col("block").isin(lead))
+    right = placed.where(~F.col("block").isin(lead)).join(of_bucket, "bucket").withColumn("group", F.explode(F.sequence("g", F.lit(at - 1).cast("long"))))
+    hits = hits.unionByName(searched(left, right))
     return best(hits).select("query_id", "rank", "vec_id", "score")

@@ -390,6 +390,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.where("vec_id IN (0, 50)")).count() == 2
 
 
+def test_top_k_deals_fewer_pairs_where_norms_are_spread(spark):
+    """Ties, repeated ids, extra columns, and blocks of short vectors that no query group is sent to."""
+    rng = np.random.default_rng(8)
+    v = [(rng.normal(size=6) * 0.8 ** (i % 12)).tolist() for i in range(600)]
+    v[3] = v[4] = v[5]
+    rows = [(i, x, 1, 2) for i, x in enumerate(v)] + [(5, v[5], 1, 2), (50, v[50], 1, 2), (None, v[0], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, `group` int, `a.b` int")
+    ints = [(r[0], np.floor(256 * np.array(r[1])).astype(np.int64)) for r in rows if r[0] is not None]
+    report = {}
+    got = topk.top_k(df.where("vec_id <> 50 OR vec_id IS NULL"), block=20, query_block=2, report=report).collect()
+    assert report["skipped"] > report["dealt"] / 4 > 0
+    ints = [x for x in ints if x[0] != 50]
+    want = sorted(w for q, x in ints if q % 50 == 0 for w in sorted((q, -int(x @ y), c) for c, y in ints if c != q)[:5])
+    assert sorted((r.query_id, -r.score, r.vec_id) for r in got) == want
+
+
 # --- 9 toxicity
 
 
