@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -86,8 +86,30 @@ def hash_below(fraction: float, *columns):
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) < F.lit(bound)
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as Spark reads them, dots and backticks included."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores after those that columns have already in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow() for columns of any names: Spark's own doesn't take those with dots."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
 
 
 def release() -> None:
@@ -99,13 +121,14 @@ def release() -> None:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of a string column, so that memory follows a text's size."""
+    """The same rows in batches of about `most` bytes of a string or list column, so that memory follows a text's size."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(name))
         if col.nbytes <= most or batch.num_rows <= 1:
             yield batch
             continue
-        sizes = np.array(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
+        sizes = pc.multiply(pc.list_value_length(col), 4) if pa.types.is_list(col.type) else pc.binary_length(col)
+        sizes = np.array(pc.fill_null(sizes, 0), dtype=np.int64)
         piece = np.cumsum(sizes) // most
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):

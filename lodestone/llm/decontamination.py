@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
 
 WIDTH, PERCENT, RADIUS = 5, 80, 23
 #: Rows that may be broadcast: item shingles, and ids of documents (8 to 24 bytes a row).
@@ -125,4 +125,4 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int) -> D
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without those that hold an item; all columns stay."""
     bad = contaminated(docs.select("doc_id", "text"), benchmark, width, percent).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(bad, "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -10,7 +10,8 @@ The tree is kept as sorted arrays of (context, byte) numbers with the whole chai
 Training reads a fixed pseudo-random sample of about TRAIN_BYTES of text a language, whole texts only.
 
 Defined cases: null text, or text without a letter: `und`, score 0. Ties go to the alphabetically first language.
-Without training rows all is `und`. Extra columns are passed through; lang_pred and score replace columns of that name.
+Without training rows all is `und`; repeated rows are trained on and scored like any other. Extra columns are passed
+through; the two columns that are added replace those of their names.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_below, in_training_fold, small_batches
+from .common import hash_below, in_training_fold, map_batches, quoted, small_batches
 
 ORDER, TRAIN_BYTES, PAD = 3, 1_500_000, b"   "
 UNKNOWN = "und"
@@ -151,11 +153,11 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model | None:
     return train(samples)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score, from the text alone."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*[f"`{n}`" for n in names]).schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"
+def predict(docs: DataFrame, model: Model | None, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score under the names `added`, from the text alone."""
+    fields = [f for f in docs.schema if f.name not in added]
+    names = [f.name for f in fields]
+    out = T.StructType([*fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # follows train_bytes, not the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +173,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 for i, b, s in zip(at, best, share):
                     langs[i], scores[i] = known.languages[b], float(1 / s)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, *added])
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, out)
+    return map_batches(docs.select(*quoted(names)), run, out)
 
 
 def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:

@@ -10,8 +10,9 @@
 The filters have 8 bits a line, at most MAX_BITS; beyond that they get fuller, more keys are suspected and counted,
 and the result stays exact. Confirmed digests are broadcast up to a checked number; beyond it they are joined.
 
-Defined cases: null or empty text is one empty line; null ids are documents like any other; repeated rows count as
-documents each; an empty table gives no rows; other columns of the input are passed through as they are.
+Defined cases: null or empty text is one empty line; rows of one id are one document that is counted once; rows without
+an id lose common lines like any other, but are counted as no document; each row keeps its own text; an empty table
+gives no rows; other columns of the input are passed through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import runs, small_batches, written
+from .common import map_batches, quoted, seen_parts, small_batches, twice_seen, unused, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_DOCUMENTS, MIN_CHARS = 10, 1
@@ -46,120 +48,92 @@ def _keys(text: str | None, min_chars: int) -> list[bytes]:
     return [k for k in keys if len(k) >= min_chars and len(k.decode()) >= min_chars]
 
 
-def _positions(keys, bits: int) -> np.ndarray:
-    """Two bits of the filter for each key."""
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64)
-    low = hashes & np.uint64(0xFFFFFFFF)
-    return np.stack([low & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
+def _hashes(keys) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64)
 
 
-def _filters(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
-    """(block, bits binary): the twice-seen filter, block by block."""
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits of the filter for each hash of a key."""
+    low, mask = hashes & np.uint64(0xFFFFFFFF), np.uint64(bits - 1)
+    return np.stack([low & mask, (hashes >> np.uint64(32)) & mask]).astype(np.int64)
+
+
+def _filter_parts(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """(block, once, twice): the tasks' two filters."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bool] = {}
-
-        def flush() -> pa.RecordBatch:
-            once = _positions([k for k, again in seen.items() if not again], bits).ravel()
-            twice = _positions([k for k, again in seen.items() if again], bits).ravel()
-            seen.clear()
-            once, twice = np.unique(once), np.unique(twice)
-            blocks, out = [], {"o": [], "t": []}
-            cuts = np.unique(np.concatenate([once, twice]) // BLOCK_BITS)
-            for name, at in (("o", once), ("t", twice)):
-                edge = np.searchsorted(at, np.append(cuts, cuts[-1:] + 1) * BLOCK_BITS)
-                inner = (at % BLOCK_BITS).astype(np.uint16)
-                out[name] = [inner[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-            blocks = pa.array(cuts.astype(np.int32))
-            return pa.RecordBatch.from_arrays([blocks, pa.array(out["o"], pa.binary()), pa.array(out["t"], pa.binary())], ["block", "once", "twice"])
+        held, size = [], 0
+
+        def parts() -> pa.RecordBatch:
+            return seen_parts(*np.unique(np.concatenate(held), return_counts=True), lambda h, n: _positions(h, n).ravel(), bits, BLOCK_BITS)
 
         for batch in small_batches(batches, "text"):
             for text in batch.column(0).to_pylist():
-                for key in set(_keys(text, min_chars)):
-                    digest = xxhash.xxh3_128_digest(key) if len(key) > 32 else key
-                    seen[digest] = digest in seen
-            if len(seen) > 1 << 19:
-                yield flush()
-        if seen:
-            yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, once, twice = None, None, None
-
-        def done() -> pa.RecordBatch:
-            kept = np.packbits(twice, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kept], pa.binary())], ["block", "bits"])
-
-        for batch in batches:
-            for at, o, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != block:
-                    if block is not None and twice.any():
-                        yield done()
-                    block, once, twice = at, np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-                o, t = np.frombuffer(o, np.uint16), np.frombuffer(t, np.uint16)
-                twice[o[once[o]]] = True  # once here and once before
-                twice[t] = True
-                once[o] = True
-                once[t] = True
-        if block is not None and twice.any():
-            yield done()
-
-    parts = docs.select("text").mapInArrow(add, "block int, once binary, twice binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+                held.append(_hashes(set(_keys(text, min_chars))))
+                size += len(held[-1])
+            if size > 1 << 19:
+                yield parts()
+                held, size = [], 0
+        if size:
+            yield parts()
+
+    return docs.select("text").mapInArrow(add, "block int, once binary, twice binary")
 
 
 def common_keys(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(key) digests of keys in at least min_documents documents, and the filter's suspects (row, key)."""
+    """(key) digests of keys in at least min_documents documents, and the filter's suspects (id, row, key)."""
     spark = docs.sparkSession
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
     bits = min(MAX_BITS, max(MIN_BITS, 1 << int(8 * int(lines)).bit_length()))
-    twice = np.zeros(bits // 8, np.uint8)
-    for row in _filters(docs, bits, min_chars).toLocalIterator():  # at most MAX_BITS / 8 bytes
-        at = row.block * BLOCK_BITS // 8
-        twice[at : at + BLOCK_BITS // 8] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(twice)
+    shared = spark.sparkContext.broadcast(twice_seen(_filter_parts(docs, bits, min_chars), bits, BLOCK_BITS))  # at most MAX_BITS / 8 bytes
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in small_batches(batches, "text"):
-            rows, found = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, found = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 keys = list(set(_keys(text, min_chars)))
                 if not keys:
                     continue
-                digests = [xxhash.xxh3_128_digest(k) if len(k) > 32 else k for k in keys]
-                a, b = _positions(digests, bits)
+                a, b = _positions(_hashes(keys), bits)
                 there = (bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1
-                for i in np.flatnonzero(there):
-                    rows.append(row)
-                    found.append(hashlib.sha256(keys[i]).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(found, pa.binary())], ["row", "key"])
+                for j in np.flatnonzero(there):
+                    at.append(i)
+                    found.append(hashlib.sha256(keys[j]).digest())
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(found, pa.binary())], ["id", "row", "key"])
+
+    suspects = docs.select(F.col("doc_id").cast("string").alias("id"), _row().alias("row"), "text").mapInArrow(suspect, "id string, row binary, key binary")
+    # a document counts once, however many rows it has
+    counted = suspects.where("id IS NOT NULL").select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return written(counted.where(F.col("n") >= min_documents), "lines"), suspects
+
 
-    row = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
-    suspects = docs.select(row.alias("row"), "text").mapInArrow(suspect, "row binary, key binary")
-    counted = suspects.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    return written(counted, "lines"), suspects
+def _row():
+    """A digest of a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
 
 
-def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, keep_first: bool = False) -> DataFrame:
-    """docs with the text left after common lines are dropped, n_lines and n_dropped.
+def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, keep_first: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text left after common lines are dropped, and the numbers of lines before and dropped as counts.
 
-    Columns doc_id and text are read; the others stay. keep_first keeps such a line in the document with the
-    smallest id that has it (its first occurrence there).
+    Columns doc_id and text are read; the others stay, but for those that have the names of counts. keep_first keeps
+    such a line in the document with the smallest id that has it (its first occurrence there).
     """
     spark = docs.sparkSession
     keys, suspects = common_keys(docs, min_documents, min_chars)
-    schema = spark.createDataFrame([], docs.schema).select([c for c in docs.columns if c not in ("n_lines", "n_dropped")]).schema
-    names = schema.names
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_lines long, n_dropped long"
+    fields = [f for f in docs.schema if f.name not in counts]
+    names = [f.name for f in fields]
+    lines, lists = unused(names, "row", "keys")
+    out = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in counts]])
+    own_columns = docs.select(*quoted(names))
     small = keys.count() <= broadcast_keys and not keep_first
     shared = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in keys.select("key").collect())) if small else None
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             at = batch.schema.get_field_index("text")
-            own = None if small else batch.column(batch.schema.get_field_index("_keys")).to_pylist()
+            own = None if small else batch.column(batch.schema.get_field_index(lists)).to_pylist()
             kept, total, gone = [], [], []
             for i, text in enumerate(batch.column(at).to_pylist()):
                 lines = (text or "").encode().split(b"\n")
@@ -173,17 +147,16 @@ def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_c
                 gone.append(len(lines) - len(stay) if bad else 0)
                 kept.append(b"\n".join(stay).decode() if bad and gone[-1] else text if text is not None else "")
             arrays = [pa.array(kept, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, *counts])
 
     if small:
-        return docs.select(*names).mapInArrow(strip, out)
-    row = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
-    rows = docs.select(*names).withColumn("_row", row)
+        return map_batches(own_columns, strip, out)
+    rows = own_columns.withColumn(lines, _row())
     hits = suspects.join(keys.select("key"), "key")
     if keep_first:
-        ids = rows.select(F.col("_row").alias("row"), F.struct(F.col("doc_id"), F.col("_row")).alias("o"))
+        ids = docs.select(_row().alias("row"), F.struct("doc_id", _row().alias("row")).alias("o"))
         placed = hits.join(ids.distinct(), "row")
         first = placed.groupBy("key").agg(F.min("o").alias("f"))
-        hits = placed.join(first, "key").where("o <> f").select("row", "key")
-    own = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_set("key").alias("_keys"))  # the lines of one text
-    return rows.join(own, "_row", "left").drop("_row").mapInArrow(strip, out)
+        hits = placed.join(first, "key").where("o <> f")
+    own = hits.groupBy(F.col("row").alias(lines)).agg(F.collect_set("key").alias(lists))  # the lines of one text
+    return map_batches(rows.join(own, lines, "left").drop(lines), strip, out)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_filter, passes, runs, small_batches, written
+from .common import components, id_filter, passes, quoted, runs, small_batches, written
 from .shingles import batch_sets, mix
 
 WORDS, PERCENT = 5, 80
@@ -364,4 +364,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay."""
     gone = near_duplicates(docs.select("doc_id", "text"), words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
