@@ -329,6 +329,18 @@ def test_line_dedup_keeps_the_first(docs_of):
     assert got == {0: "a\nx", 1: "y", 2: "b"}
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_line_dedup_counts_documents(spark, broadcast):
+    """Repeated rows of an id are one document, rows without an id none; columns of clashing names stay."""
+    rows = [(1, "hello\nown")] * 10 + [(2, " HELLO")] + [(None, "hello")] * 3 + [(i, "common\nx") for i in range(3, 13)] + [(None, "common")]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", 7) for r in rows], "doc_id long, text string, `a.b` string, `_keys` string, `row` string, KEYS int")
+    got = line_dedup.drop_common_lines(docs, broadcast_keys=broadcast).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(
+        [(1, "hello\nown", 2, 0)] * 10 + [(2, " HELLO", 1, 0)] + [(None, "hello", 1, 0)] * 3 + [(i, "", 2, 2) for i in range(3, 13)] + [(None, "", 1, 1)], key=str
+    )
+    assert {(r["a.b"], r["_keys"], r["row"], r["KEYS"]) for r in got} == {("a", "b", "c", 7)}
+
+
 # --- 6 URL lists
 
 
@@ -429,6 +441,35 @@ def test_toxicity_learns_and_scores_all_texts(spark, docs_of):
     assert none[0].score == 0
 
 
+def plain_score(model, ids):
+    """One text through embedding, filters, maxima, output and threshold, word by word."""
+    edge, forms = max(toxicity.WIDTHS) - 1, len(toxicity.FORMS)
+    words = [list(ids[i : i + forms]) for i in range(0, len(ids), forms)]
+    padding = [[toxicity.PADDING] * forms]
+    padded = padding * edge + words + padding * (edge + (not words))
+    x = [sum(model.table[i].astype(float) for i in w) for w in padded]
+    z, column = model.out_bias, 0
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            values = [sum(float(x[a + j] @ model.taps[:, column + j * toxicity.FILTERS + f]) for j in range(width)) for a in range(len(x) - width + 1)]
+            z += model.out[i * toxicity.FILTERS + f] * max(0.0, max(values) + model.bias[i * toxicity.FILTERS + f])
+        column += width * toxicity.FILTERS
+    language = np.argmax(sum(model.evidence[w[0]].astype(float) for w in padded))
+    return 1 / (1 + np.exp(-(z - model.thresholds[language])))
+
+
+def test_toxicity_equals_a_plain_network(docs_of, spark):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(5, 30)) + (" nasty" if i % 3 == 0 else "") for i in range(90)] + [None, "", "one", "ties ties ties"]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(3, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    docs = docs_of(texts).withColumn("words", F.lit(1)).withColumn("a.b", F.lit(2)).unionByName(docs_of(["ties"], [5]).withColumn("words", F.lit(1)).withColumn("a.b", F.lit(2)))
+    model = toxicity.fit(docs, lab)
+    got = toxicity.score(docs, model).collect()
+    ids = {(r.doc_id, r.text): r.w for r in docs.select("doc_id", "text", toxicity.word_ids(F.col("text")).alias("w")).collect()}
+    assert len(got) == 95 and all(r["words"] == 1 and r["a.b"] == 2 for r in got)
+    assert np.allclose([r.score for r in got], [plain_score(model, ids[r.doc_id, r.text]) for r in got], atol=1e-4)
+
+
 def test_toxicity_chunks_don_t_matter(monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(rng.integers(1, 900, 3 * int(n)).tolist(), int(n % 2), "en") for n in rng.integers(1, 60, 60)]
@@ -526,3 +567,27 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.collect()}
     places(pieces)
+
+
+def test_pipeline_passes_odd_columns_nulls_and_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    odd = {"score": F.lit(1.5), "lang_pred": F.lit("p"), "n_lines": F.lit(3), "n_dropped": F.array(F.lit(1)), "a.b": F.lit("dot"), "KEY": F.lit(9)}
+    docs = docs.withColumns(odd)
+    none = {"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}
+    some = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.limit(1).withColumns(none)).unionByName(some)
+    for name, frame in (("full", docs), ("empty", docs.limit(0))):
+        kept = frame
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / name / step)
+            stage(spark, kept, d).write.parquet(path)
+            kept = spark.read.parquet(path)
+            assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert (len(rows) > 40) == (name == "full")
+        assert {(r["score"], r["lang_pred"], r["n_lines"], tuple(r["n_dropped"]), r["a.b"], r["KEY"]) for r in rows} <= {(1.5, "p", 3, (1,), "dot", 9)}
+        assert name == "empty" or None in {r.doc_id for r in rows}
+        assert (corpus_pipeline.STAGES[-1][1](spark, kept, d).count() >= len(rows)) if rows else corpus_pipeline.STAGES[-1][1](spark, kept, d).collect() == []
