@@ -9,8 +9,9 @@ one's docs. All but the last keep the columns of documents.
 4. decontamination: documents that hold an item of the benchmark go;
 5. packing: the rest is cut into pieces and packed into sequences.
 
-Null texts go in the first stage; a text that loses all its lines stays as an empty one; null ids and extra columns
-pass through all stages but the last.
+Null texts go in the first stage; a text that loses all its lines stays as an empty one; null ids and extra columns,
+whatever their names, pass through all stages but the last; rows of one id stay or go together in the stages that look
+for duplicates and items; no documents give no pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, language_id, line_dedup, minhash, packing
-from lodestone.llm.common import new_folder, ship
+from lodestone.llm.common import new_folder, quoted, ship, unused
 
 
 def tokenizer_path() -> str:
@@ -32,16 +33,18 @@ def tokenizer_path() -> str:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = language_id.predict(docs, language_id.fit(docs))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    lang, score = unused(docs.columns, "lang_pred", "score")
+    found = language_id.predict(docs, language_id.fit(docs), (lang, score))
+    return found.where(F.col(lang) != language_id.UNKNOWN).select(*quoted(docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    kept = line_dedup.drop_common_lines(docs)
+    lines, dropped = unused(docs.columns, "n_lines", "n_dropped")
+    kept = line_dedup.drop_common_lines(docs, counts=(lines, dropped))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    return kept.select(*quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
