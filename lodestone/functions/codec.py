@@ -15,14 +15,13 @@ def gap_encode(ids: Column) -> Column:
 
 
 def gap_decode(gaps: Column) -> Column:
-    """Running sums, the inverse of gap_encode()."""
-    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
+    """Running sums, the inverse of gap_encode(). For long lists use index.gap_rows() and index.ungap_rows(), a row an id."""
+    return F.transform(gaps, lambda x, i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
 
-    def add(acc: Column, x: Column) -> Column:
-        total = acc["s"] + x
-        return F.struct(total.alias("s"), F.concat(acc["a"], F.array(total)).alias("a"))
 
-    return F.aggregate(gaps, start, add, lambda acc: acc["a"])
+def size_mb(size: Column) -> Column:
+    """Bytes as millions with two decimals."""
+    return F.round(size / 1e6, 2)
 
 
 def varint_length(value: Column) -> Column:

@@ -5,7 +5,7 @@ Nulls: a null text has no tokens and stays null when cleaned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BLANK_FREE = r"[^\p{IsWhite_Space}]+"
@@ -64,15 +64,11 @@ def gutenberg_clean(text: Column) -> Column:
     return F.when(start < end, body).otherwise(text)
 
 
-def normalize_py(raw: str) -> str:
-    """As normalize(), for the words of a query on the driver."""
-    kept = [c for c in raw if c.isalpha() or c.isnumeric()]
-    return "".join(c.lower() for c in kept)
-
-
-def query_terms(query: str) -> list[str]:
-    """The terms of a query, repeats included; positions count only surviving terms."""
-    return [t for t in map(normalize_py, query.split()) if t]
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The terms of a query, repeats included, by the very expressions that terms of an index come from."""
+    words = F.transform(raw_tokens(F.col("q")), normalize)
+    row = spark.createDataFrame([(query,)], "q string").select(F.filter(words, lambda t: t != "").alias("t")).first()
+    return list(row.t)
 
 
 def parse_mode(name: str) -> str:

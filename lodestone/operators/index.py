@@ -6,14 +6,28 @@ postings(segment_id, term, doc_id, positions array<bigint>).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import gap_encode, varint_length
 from ..functions.text import normalize, raw_tokens
 
-#: Pieces that number_rows() cuts the key's range into; also the size of its splits on the driver.
-NUMBERING_PIECES = 64
+#: Rows of a piece of number_rows(), and the most pieces, whose splits are on the driver.
+PIECE_ROWS, MOST_PIECES = 1_000_000, 2_000
+
+
+def deal(docs: DataFrame) -> DataFrame:
+    """docs dealt out by (segment_id, doc_id), so that groups of a document or of a posting need no shuffle of tokens.
+
+    One shuffle of the texts instead; it also spreads a source of few splits over all cores.
+    """
+    return docs.repartition("segment_id", "doc_id")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs as they are, or dealt out if their source has fewer splits than there are cores."""
+    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
+    return deal(docs) if few else docs
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,7 +41,7 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """Ascending positions of each (segment_id, term, doc_id)."""
+    """Ascending positions of each (segment_id, term, doc_id). Tokens of dealt documents aren't shuffled."""
     positions = F.array_sort(F.collect_list("pos")).alias("positions")
     return tokens.groupBy("segment_id", "term", "doc_id").agg(positions)
 
@@ -85,25 +99,48 @@ def postings_size(postings: DataFrame) -> DataFrame:
     return sized.agg((F.sum("bytes") + varint_length(F.count("*"))).alias("bytes"))
 
 
-def number_rows(rows: DataFrame, by: str, name: str = "doc_id", pieces: int = NUMBERING_PIECES) -> DataFrame:
+def number_rows(rows: DataFrame, by: str, name: str = "doc_id", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Number rows from 1 in the order of a string column, without sorting all of them in one task.
 
-    The range is cut at up to `pieces` values of a sample whose size doesn't grow with the input; rows are
-    numbered within a piece, after the counts of the pieces before. Equal values get any order; nulls come first.
+    The range is cut at quantiles into as many pieces as the counted rows need; rows are numbered within a piece, after
+    the counts of the pieces before. Equal values get any order; nulls come first.
     """
-    cuts = rows.where(F.col(by).isNotNull()).select(F.col(by).alias("v"), F.xxhash64(by).alias("h"))
-    cuts = sorted({r.v for r in cuts.orderBy("h", "v").limit(16 * pieces).collect()})
-    cuts = cuts[:: max(1, len(cuts) // pieces)]
-    piece = sum(((F.col(by) >= c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_piece", F.coalesce(piece, F.lit(-1)))
+    counted = rows.where(F.col(by).isNotNull()).agg(F.count("*").alias("n")).first().n
+    pieces = min(MOST_PIECES, -(-counted // piece_rows))
+    cuts: list[str] = []
+    if pieces > 1:  # a sample of 16 values a piece, by hash
+        share = F.pmod(F.xxhash64(by), F.lit(counted)) < 16 * pieces
+        found = sorted({r.v for r in rows.where(share).select(F.col(by).alias("v")).distinct().limit(64 * pieces).collect()})
+        cuts = found[:: max(1, len(found) // pieces)][1:]
+    rows = rows.withColumn("_piece", F.when(F.col(by).isNull(), -1).otherwise(_piece_of(F.col(by), cuts, 0)))
     before = rows.groupBy("_piece").agg(F.count("*").alias("_n"))
     start = F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = before.select("_piece", start.alias("_start"))
+    before = before.select("_piece", start.alias("_start"))  # a row a piece
     rank = F.row_number().over(Window.partitionBy("_piece").orderBy(by))
-    numbered = rows.withColumn("_rank", rank).join(F.broadcast(before), "_piece")  # at most pieces + 2 rows
+    numbered = rows.withColumn("_rank", rank).join(F.broadcast(before), "_piece")
     return numbered.withColumn(name, F.col("_start") + F.col("_rank")).drop("_piece", "_start", "_rank")
 
 
+def _piece_of(value: Column, cuts: list[str], first: int) -> Column:
+    """How many cuts are not above a value, as nested tests."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(value < cuts[m], _piece_of(value, cuts[:m], first)).otherwise(_piece_of(value, cuts[m + 1 :], first + m + 1))
+
+
+def gap_rows(postings: DataFrame) -> DataFrame:
+    """(segment_id, term, doc_id, gap): gaps of the ids of a term, a row each, so that no list of a common term is built."""
+    order = Window.partitionBy("segment_id", "term").orderBy("doc_id")
+    return postings.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("gap"))
+
+
+def ungap_rows(gaps: DataFrame, order_by: str = "ord") -> DataFrame:
+    """(segment_id, term, doc_id) from gaps(segment_id, term, ord, gap): running sums, the inverse of gap_rows()."""
+    order = Window.partitionBy("segment_id", "term").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return gaps.select("segment_id", "term", F.sum("gap").over(order).alias("doc_id"))
+
+
 def incremental_new_docs(docs: DataFrame, indexed: DataFrame) -> DataFrame:
     """Documents whose path is not indexed yet; changes and deletions are not looked for."""
     return docs.join(indexed.select("path"), "path", "left_anti")
@@ -125,8 +162,8 @@ def merge_segments(manifest: DataFrame, docs: DataFrame, postings: DataFrame, ne
         "segment_id", F.coalesce(F.sum(F.coalesce("m", F.lit(0))).over(ahead), F.lit(0)).alias("shift")
     )
 
-    def moved(rows: DataFrame) -> DataFrame:
-        rows = rows.join(shift, "segment_id").withColumn("doc_id", F.col("doc_id") + F.col("shift"))
+    def moved(rows: DataFrame) -> DataFrame:  # shift: a row a segment of the manifest
+        rows = rows.join(F.broadcast(shift), "segment_id").withColumn("doc_id", F.col("doc_id") + F.col("shift"))
         return rows.withColumn("segment_id", F.lit(new_id)).drop("shift")
 
     return moved(docs), moved(postings)

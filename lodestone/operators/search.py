@@ -48,7 +48,7 @@ def search(docs: DataFrame, tokens: DataFrame, query: str, mode: str = "and", sc
 
     Without terms nothing matches. A phrase scores the number of its occurrences.
     """
-    terms = query_terms(query)
+    terms = query_terms(docs.sparkSession, query)
     if not terms:
         return docs.sparkSession.createDataFrame([], RESULT)
     if mode == "phrase":
@@ -58,18 +58,49 @@ def search(docs: DataFrame, tokens: DataFrame, query: str, mode: str = "and", sc
         counts = term_counts(tokens, distinct)
         by = ["segment_id"] if scorer == "bm25" else []
         stats = statistics(docs, counts, distinct, by)
-        tests = [F.col(f"tf{i}") > 0 for i in range(len(distinct))]
-        matched = counts.where(reduce(Column.__and__ if mode == "and" else Column.__or__, tests))
-        matched = matched.join(stats, by) if by else matched.crossJoin(F.broadcast(stats))  # a single row
-        parts = []
-        for t in terms:
-            i = distinct.index(t)
-            tf, df, n = F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n")
-            parts.append(tf_idf(tf, df, n) if scorer == "tfidf" else bm25(tf, df, n, F.col("doc_len"), F.col("total") / n))
-        scored = matched.select("segment_id", "doc_id", reduce(Column.__add__, parts).alias("score"))
+        scored = _scored(counts.where(_match(mode, len(distinct))), stats, by, terms, scorer).select("segment_id", "doc_id", "score")
     return docs.select("segment_id", "doc_id", "path").join(scored, ["segment_id", "doc_id"])
 
 
+def _match(mode: str, terms: int) -> Column:
+    return reduce(Column.__and__ if mode == "and" else Column.__or__, [F.col(f"tf{i}") > 0 for i in range(terms)])
+
+
+def _scored(matched: DataFrame, stats: DataFrame, by: list[str], terms: list[str], scorer: str) -> DataFrame:
+    """matched(doc_len, tf0, ...) with score; stats has a row a segment, or one."""
+    matched = matched.join(F.broadcast(stats), by) if by else matched.crossJoin(F.broadcast(stats))
+    distinct, parts = list(dict.fromkeys(terms)), []
+    for t in terms:
+        i = distinct.index(t)
+        tf, df, n = F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n")
+        parts.append(tf_idf(tf, df, n) if scorer == "tfidf" else bm25(tf, df, n, F.col("doc_len"), F.col("total") / n))
+    return matched.withColumn("score", reduce(Column.__add__, parts))
+
+
+def search_index(docs: DataFrame, postings: DataFrame, terms: DataFrame, meta: DataFrame, query: str, mode: str = "and", scorer: str = "bm25") -> DataFrame:
+    """As search(), from a stored index: docs(segment_id, doc_id, path, doc_len), postings(segment_id, term, doc_id, tf,
+    positions), terms(segment_id, term, doc_freq), meta(segment_id, doc_count, position_count).
+
+    Only postings of the query's terms are read, and without their positions unless the query is a phrase.
+    """
+    words = query_terms(docs.sparkSession, query)
+    if not words:
+        return docs.sparkSession.createDataFrame([], RESULT)
+    own = term_lookup(postings, list(dict.fromkeys(words)))
+    if mode == "phrase":
+        scored = phrase(own.select("segment_id", "doc_id", "term", F.explode("positions").alias("pos")), words)
+        return docs.select("segment_id", "doc_id", "path").join(scored, ["segment_id", "doc_id"])
+    distinct, by = list(dict.fromkeys(words)), ["segment_id"] if scorer == "bm25" else []
+    tf = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(distinct)]
+    counts = own.groupBy("segment_id", "doc_id").agg(*tf).where(_match(mode, len(distinct)))
+    df = [F.sum(F.when(F.col("term") == t, F.col("doc_freq"))).alias(f"df{i}") for i, t in enumerate(distinct)]
+    found = terms.where(F.col("term").isin(*distinct)).groupBy(*by).agg(*df)
+    sizes = meta.groupBy(*by).agg(F.sum("doc_count").alias("n"), F.sum("position_count").alias("total"))
+    stats = (sizes.join(found, by) if by else sizes.crossJoin(found)).na.fill(0, [f"df{i}" for i in range(len(distinct))])
+    matched = docs.select("segment_id", "doc_id", "path", "doc_len").join(counts, ["segment_id", "doc_id"])
+    return _scored(matched, stats, by, words, scorer).select("segment_id", "doc_id", "path", "score")
+
+
 def phrase(tokens: DataFrame, terms: list[str]) -> DataFrame:
     """(segment_id, doc_id, score) with score occurrences of the terms at neighbouring positions.
 

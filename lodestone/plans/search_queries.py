@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..functions.ids import segment_name
 from ..operators import index, search
+from ..session import scratch_folder
+from ..sources.segments import SegmentStore
 from ..sources.segments import next_segment_id as next_id
 from .registry import query, table
 
@@ -29,11 +31,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return index.tokens(docs(spark, d).drop("path"))
+    return index.tokens(index.spread(docs(spark, d).drop("path")))
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(tokens(spark, d))
+    return index.postings(index.tokens(index.deal(docs(spark, d).drop("path"))))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, term, pos FROM tokens")
@@ -186,26 +188,22 @@ def plan_terms(spark, d):
 
 
 GAPS = "list_transform(range(len({0})), lambda i: {0}[i + 1] - coalesce({0}[i], 0))"
-DOC_LISTS = POSTINGS + ", lists AS (SELECT segment_id, term, list(doc_id ORDER BY doc_id) AS ids FROM postings GROUP BY 1, 2)"
-
-
-def _doc_lists(spark, d):
-    return postings(spark, d).groupBy("segment_id", "term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+GAP_ROWS = POSTINGS + ", gaps AS (SELECT segment_id, term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term ORDER BY doc_id) AS gap FROM postings)"
 
 
 def _joined(c):
     return F.array_join(c.cast("array<string>"), " ")
 
 
-@query(f"WITH {DOC_LISTS} SELECT segment_id, term, array_to_string({GAPS.format('ids')}, ' ') AS gaps FROM lists")
+@query(f"WITH {GAP_ROWS} SELECT segment_id, term, doc_id, gap FROM gaps")
 def doc_gap_encode(spark, d):
-    return _doc_lists(spark, d).select("segment_id", "term", _joined(codec.gap_encode(F.col("ids"))).alias("gaps"))
+    """A row an id: a common term's list isn't built."""
+    return index.gap_rows(postings(spark, d))
 
 
-@query(f"WITH {DOC_LISTS} SELECT segment_id, term, array_to_string(ids, ' ') AS ids FROM lists")
+@query(f"WITH {POSTINGS} SELECT segment_id, term, doc_id FROM postings")
 def doc_gap_decode(spark, d):
-    gaps = _doc_lists(spark, d).select("segment_id", "term", codec.gap_encode(F.col("ids")).alias("gaps"))
-    return gaps.select("segment_id", "term", _joined(codec.gap_decode(F.col("gaps"))).alias("ids"))
+    return index.ungap_rows(index.gap_rows(postings(spark, d)), "doc_id")
 
 
 @query(f"WITH {POSTINGS} SELECT segment_id, term, doc_id, array_to_string({GAPS.format('positions')}, ' ') AS gaps FROM postings")
@@ -263,7 +261,7 @@ def merge_segments(spark, d):
 
 @query(f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS doc_id FROM docs")
 def assign_doc_ids(spark, d):
-    return index.number_rows(docs(spark, d).select("path"), "path").select("path", "doc_id")
+    return index.number_rows(docs(spark, d).select("path"), "path", piece_rows=200).select("path", "doc_id")
 
 
 @query(r"""SELECT page_id, url, coalesce(list_contains(['txt', 'html', 'htm', 'rs', 'c', 'cc', 'cpp', 'h', 'hpp', 'md'],
@@ -312,3 +310,77 @@ def doc_intersect(spark, d):
 def doc_except(spark, d):
     a, b = _sets(spark, d)
     return a.subtract(b)
+
+
+_stores: dict[tuple[str, str, bool], SegmentStore] = {}
+
+
+def store(spark: SparkSession, d: str, merged: bool = False) -> SegmentStore:
+    """A stored index of documents in four segments, or of these merged into one; written once in a session."""
+    key = (spark.sparkContext.applicationId, d, merged)
+    if key not in _stores:
+        made = SegmentStore(spark, scratch_folder(spark, "store"))
+        found = docs(spark, d)
+        for i in range(1, 5):
+            made.append(found.where(F.col("segment_id") == f"seg_{i:06d}").drop("segment_id"))
+        if merged:
+            made.merge()
+        _stores[key] = made
+    return _stores[key]
+
+
+def _stored(spark, d, q, mode, scorer, merged=False):
+    found = store(spark, d, merged).search(q, mode, scorer)
+    return found.select("segment_id", "doc_id", "path", F.round("score", 6).alias("score"))
+
+
+def _register_stored(name: str, mode: str, scorer: str) -> None:
+    @query(_ranking(mode, scorer, TERMS.split(), BEST), name=name)
+    def run(spark, d):
+        return search.top_k(_stored(spark, d, TERMS, mode, scorer), 10)
+
+
+for _scorer in ("tfidf", "bm25"):
+    for _mode in ("and", "or"):
+        _register_stored(f"stored_{_scorer}_{_mode}", _mode, _scorer)
+
+PHRASES = f"""WITH {TOKENS}, hits AS (SELECT a.segment_id, a.doc_id, CAST(count(*) AS DOUBLE) AS score FROM tokens a JOIN tokens b
+ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY ALL)
+SELECT hits.segment_id, hits.doc_id, path, score FROM hits JOIN docs USING (doc_id)"""
+
+
+@query(PHRASES)
+def stored_phrase(spark, d):
+    return _stored(spark, d, PHRASE, "phrase", "bm25")
+
+
+@query(f"SELECT path, score FROM ({PHRASES})")
+def merged_phrase(spark, d):
+    return _stored(spark, d, PHRASE, "phrase", "bm25", merged=True).select("path", "score")
+
+
+@query(f"SELECT path, score FROM ({_ranking('or', 'tfidf', TERMS.split(), '')})")
+def merged_tfidf(spark, d):
+    """All segments are one snapshot for TF-IDF: merging them changes no score."""
+    return _stored(spark, d, TERMS, "or", "tfidf", merged=True).select("path", "score")
+
+
+@query(f"SELECT path, score FROM ({_ranking('and', 'bm25', TERMS.split(), '')})".replace("printf('seg_%06d', doc_id % 4 + 1)", "'seg_000005'"))
+def merged_bm25(spark, d):
+    """After the merge BM25's statistics are those of the single segment."""
+    return _stored(spark, d, TERMS, "and", "bm25", merged=True).select("path", "score")
+
+
+@query(f"""WITH {META} SELECT CAST(sum(doc_count) AS BIGINT) AS docs, CAST(sum(posting_count) AS BIGINT) AS postings, CAST(sum(position_count) AS BIGINT) AS positions,
+(SELECT count(DISTINCT term) FROM postings) AS terms, round(sum(position_count) / sum(doc_count), 6) AS avg_doc_len FROM meta""")
+def store_stats(spark, d):
+    return store(spark, d).stats().withColumn("avg_doc_len", F.round("avg_doc_len", 6))
+
+
+@query(f"""WITH {POSTINGS}, gaps AS (SELECT segment_id, term, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term ORDER BY doc_id) AS g,
+len(positions) AS tf, {GAPS.format('positions')} AS pg FROM postings),
+own AS (SELECT segment_id, term, {_varint('g')} + {_varint('tf')} + list_sum(list_transform(pg, lambda x: {_varint('x')})) AS b FROM gaps),
+t AS (SELECT segment_id, term, sum(b) + {_varint('count(*)')} AS bytes FROM own GROUP BY 1, 2) SELECT segment_id, round(CAST(sum(bytes) AS DOUBLE) / 1e6, 2) AS mb FROM t GROUP BY 1""")
+def postings_size_mb(spark, d):
+    sizes = index.postings_size(postings(spark, d)).groupBy("segment_id").agg(F.sum("bytes").alias("b"))
+    return sizes.select("segment_id", codec.size_mb(F.col("b")).alias("mb"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,9 @@ def get_session(app: str = "lodestone", cores: str | None = None, **conf: str) -
         "spark.driver.memory": "8g",
     } | conf
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path for a query's own tables in the folder that the cluster shares; without one, as in tests, below /tmp."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(named or 'file:///tmp/lodestone-checkpoints').rstrip('/')}/lodestone-{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"

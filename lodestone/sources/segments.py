@@ -1,19 +1,26 @@
 """A folder of immutable index segments and a manifest that names the visible ones.
 
-Layout below root: tables docs, postings and segment_meta, one folder a segment, and manifest/v=<n>.
-A manifest is written last, under a new version, so readers see the old or the new state.
+Layout below root: tables docs (doc_id, path, doc_len), postings (term, doc_id, tf, positions), terms (term, doc_freq,
+positions) and segment_meta, one folder a segment, and manifest/v=<n>. A manifest is written last, beside its place,
+and renamed to a new version, so readers see the old or the new state, and of two writers one fails.
+
+Postings are dealt out by term and, within a term, by SALT hash classes of documents, so that a common term isn't one
+task's; files are sorted by term, and a search reads the row groups of its terms only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import segment_number
-from ..operators.index import merge_segments, postings, segment_meta, tokens
+from ..operators.index import deal, merge_segments, postings, tokens
+from ..operators.search import search_index, top_k
 
-MAX_SEGMENTS = 8
-TABLES = ("docs", "postings", "segment_meta")
+MAX_SEGMENTS, SALT = 8, 8
+TABLES = ("docs", "postings", "terms", "segment_meta")
 
 
 class SegmentStore:
@@ -46,29 +53,57 @@ class SegmentStore:
         version = max(self.versions(), default=0) + 1
         rows = [(version, i, s) for i, s in enumerate(ids)]
         frame = self.spark.createDataFrame(rows, "version int, ord int, segment_id string")
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
+        made = f"manifest-{uuid.uuid4().hex}"
+        frame.coalesce(1).write.parquet(f"{self.root}/{made}")
+        (old, fs), (new, _) = self._path(made), self._path(f"manifest/v={version}")
+        fs.mkdirs(self._path("manifest")[0])
+        if fs.exists(new) or not fs.rename(old, new):
+            fs.delete(old, True)
+            raise RuntimeError(f"another writer made version {version} of the manifest")
 
     def next_id(self) -> str:
         """One past the largest number in the manifest; other names don't count."""
         numbers = [int(s[4:]) for s in self.manifest() if s.startswith("seg_") and s[4:].isdigit()]
         return f"seg_{max(numbers, default=0) + 1:06d}"
 
-    def _write(self, segment_id: str, docs: DataFrame, posts: DataFrame, meta: DataFrame) -> None:
-        for name, frame in zip(TABLES, (docs, posts, meta)):
-            frame = frame.drop("segment_id")
-            if name == "postings":  # sorted files let a reader skip row groups by term
-                frame = frame.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-            frame.write.mode("overwrite").parquet(f"{self.root}/{name}/segment_id={segment_id}")
+    def _save(self, name: str, segment_id: str, frame: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}/segment_id={segment_id}"
+        frame.drop("segment_id").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _write(self, segment_id: str, docs: DataFrame, posts: DataFrame, terms: DataFrame | None = None) -> None:
+        """docs(doc_id, path, and doc_len if terms are given), posts(term, doc_id, tf, positions). Each is computed once."""
+        dealt = posts.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).sortWithinPartitions("term", "doc_id")
+        posts = self._save("postings", segment_id, dealt)
+        if terms is None:
+            terms = posts.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("positions"))
+            lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+            docs = docs.join(lengths, "doc_id", "left").na.fill(0, ["doc_len"])
+        terms = self._save("terms", segment_id, terms.repartition("term").sortWithinPartitions("term"))
+        docs = self._save("docs", segment_id, docs.select("doc_id", "path", "doc_len"))
+        zero = F.lit(0).cast("long")
+        counts = terms.agg(F.count("*").alias("term_count"), F.coalesce(F.sum("doc_freq"), zero).alias("posting_count"), F.coalesce(F.sum("positions"), zero).alias("position_count"))
+        meta = docs.agg(F.count("*").alias("doc_count")).crossJoin(counts)  # one row each
+        self._save("segment_meta", segment_id, meta.withColumn("avg_doc_len", F.col("position_count") / F.nullif("doc_count", zero)))
 
     def append(self, docs: DataFrame, max_segments: int = MAX_SEGMENTS) -> str:
-        """Index docs (doc_id, path, text) as a new segment, then merge if there are more than max_segments."""
+        """Index docs (doc_id, path, text) as a new segment, then merge if there are more than max_segments.
+
+        All of docs: a path may be in several segments. See update().
+        """
         segment_id = self.next_id()
         docs = docs.select(F.lit(segment_id).alias("segment_id"), "doc_id", "path", "text")
-        found = tokens(docs)
-        self._write(segment_id, docs.drop("text"), postings(found), segment_meta(docs, found))
+        posts = postings(tokens(deal(docs.drop("path")))).withColumn("tf", F.size("positions").cast("long"))
+        self._write(segment_id, docs.drop("text"), posts)
         self._set_manifest([*self.manifest(), segment_id])
         return self.merge() if should_merge(len(self.manifest()), max_segments) else segment_id
 
+    def update(self, docs: DataFrame, max_segments: int = MAX_SEGMENTS) -> str | None:
+        """append() of the documents whose path no visible segment has; None if there are none."""
+        if self.manifest():
+            docs = docs.join(self.read("docs").select("path"), "path", "left_anti")
+        return self.append(docs, max_segments) if docs.limit(1).count() else None
+
     def build(self, docs: DataFrame) -> str:
         """Start again with docs alone."""
         path, fs = self._path("")
@@ -83,8 +118,22 @@ class SegmentStore:
         paths = [f"{self.root}/{name}/segment_id={s}" for s in ids]
         return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
 
-    def merge(self) -> str:
-        """One new segment in place of all; of a single one its id; an empty store is an error."""
+    def search(self, query: str, mode: str = "and", scorer: str = "bm25", k: int | None = None) -> DataFrame:
+        """(segment_id, doc_id, path, score) of the matches in the visible segments, the k best if k is given."""
+        found = search_index(self.read("docs"), self.read("postings"), self.read("terms"), self.read("segment_meta"), query, mode, scorer)
+        return found if k is None else top_k(found, k)
+
+    def stats(self) -> DataFrame:
+        """One row: documents, terms (distinct over all segments), postings, positions and avg_doc_len."""
+        sums = self.read("segment_meta").agg(*[F.sum(f"{n}_count").alias(f"{n}s") for n in ("doc", "posting", "position")])
+        terms = self.read("terms").select("term").distinct().agg(F.count("*").alias("terms"))
+        return sums.crossJoin(terms).withColumn("avg_doc_len", F.col("positions") / F.nullif("docs", F.lit(0).cast("long")))  # one row each
+
+    def merge(self, keep_old: bool = False) -> str:
+        """One new segment in place of all; of a single one its id; an empty store is an error.
+
+        keep_old leaves the old folders to readers of the old manifest, until vacuum().
+        """
         ids = self.manifest()
         if not ids:
             raise ValueError("nothing to merge")
@@ -93,15 +142,33 @@ class SegmentStore:
         new = self.next_id()
         order = self.spark.createDataFrame(list(enumerate(ids)), "ord int, segment_id string")
         docs, posts = merge_segments(order, self.read("docs"), self.read("postings"), new)
-        meta = segment_meta(docs, posts.select("segment_id", "doc_id", "term", F.explode("positions").alias("pos")))
-        self._write(new, docs, posts, meta)
+        terms = self.read("terms").groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("positions").alias("positions"))
+        self._write(new, docs, posts, terms)
         self._set_manifest([new])
-        for name in TABLES:
-            for s in ids:
-                path, fs = self._path(f"{name}/segment_id={s}")
-                fs.delete(path, True)
+        if not keep_old:
+            self.vacuum()
         return new
 
+    def vacuum(self) -> None:
+        """Delete segment folders that the manifest doesn't list."""
+        kept = {f"segment_id={s}" for s in self.manifest()}
+        for name in TABLES:
+            path, fs = self._path(name)
+            for x in fs.listStatus(path) if fs.exists(path) else []:
+                if x.getPath().getName() not in kept:
+                    fs.delete(x.getPath(), True)
+
+
+def save_snapshot(docs: DataFrame, posts: DataFrame, path: str) -> None:
+    """An index in memory (docs, postings) as one folder; an older snapshot there is replaced."""
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    posts.write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The inverse of save_snapshot(); a missing or broken one is an error."""
+    return spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+
 
 def should_merge(segments: int, most: int = MAX_SEGMENTS) -> bool:
     return segments > most

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import codec, ids, text
 from lodestone.operators import blocks, cluster, index, kv, search
-from lodestone.sources import files
+from lodestone.sources import files, segments
 from lodestone.sources.segments import SegmentStore, should_merge
 from lodestone.streaming import kv as kv_stream
 
@@ -43,13 +43,24 @@ def test_tokens(spark):
     assert got == {1: [("hello", 0), ("world", 1)], 2: [("hello", 1)], 3: [("a", 0), ("b", 1)], 4: [("a", 0), ("b", 1)], 5: [("dont", 0)], 6: [("οσ", 0)]}
 
 
-def test_query_syntax():
+def test_query_syntax(spark):
     assert text.parse_query('"a b"') == ("a b", "phrase") and text.parse_query("a", "ANY") == ("a", "or")
-    assert text.query_terms("Rust!!! --- MEMORY") == ["rust", "memory"]
+    assert text.query_terms(spark, "Rust!!! --- MEMORY") == ["rust", "memory"]
     with pytest.raises(ValueError):
         text.parse_mode("near")
 
 
+@pytest.mark.parametrize("word", ["हिन्दी", "ภาษาไทย", "İstanbul", "ΟΔΟΣ", "Straße", "don't", "x\x1cy", "１２３"])
+def test_query_words_are_index_terms(spark, word):
+    """Letters with vowel signs, a dotted capital I, a sigma at the end and odd separators: the query finds the text."""
+    docs = spark.createDataFrame([("s", 1, "a", f"before {word}, after"), ("s", 2, "b", "other")], "segment_id string, doc_id long, path string, text string")
+    found = index.tokens(docs)
+    terms = text.query_terms(spark, word)
+    assert terms and set(terms) <= {r.term for r in found.where("doc_id = 1").collect()}
+    for mode in ("and", "phrase"):
+        assert [r.path for r in search.search(docs, found, word, mode).collect()] == ["a"]
+
+
 @given(st.lists(st.integers(0, 2**63 - 1)))
 def test_varints_round_trip(values):
     assert codec.decode_varints(codec.encode_varints(values)) == values
@@ -85,6 +96,23 @@ def test_segments(spark, tmp_path):
     joined = store.read("postings").where("term = 'rust'").join(store.read("docs"), ["segment_id", "doc_id"])
     assert sorted((r.doc_id, r.path) for r in joined.collect()) == [(1, "a"), (3, "c")]
     assert should_merge(9) and not should_merge(8)
+    assert store.update(frame([(1, "a", "changed"), (2, "c", "rust two")])) is None
+    assert store.update(frame([(1, "a", "changed"), (2, "d", "rust rust ferris")])) == "seg_000004"
+    assert {r.path: r.doc_len for r in store.read("docs").collect()} == {"a": 2, "b": 1, "c": 2, "d": 3}
+    before = {mode: sorted((r.path, r.score) for r in store.search("rust two", mode, "tfidf").collect()) for mode in ("and", "or", "phrase")}
+    assert [p for p, _ in before["or"]] == ["a", "c", "d"] and before["phrase"] == [("c", 1.0)] and store.search("!!!").collect() == []
+    assert [r.path for r in store.search("rust", "or", k=1).collect()] == [max(store.search("rust", "or").collect(), key=lambda r: r.score).path]
+    old = store.manifest()
+    assert store.merge(keep_old=True) == "seg_000005"
+    assert {mode: sorted((r.path, r.score) for r in store.search("rust two", mode, "tfidf").collect()) for mode in before} == before
+    row = store.stats().first()
+    assert (row.docs, row.terms, row.postings, row.positions, row.avg_doc_len) == (4, 5, 7, 8, 2.0)
+    assert spark.read.parquet(f"{store.root}/docs/segment_id={old[0]}").count() == 3
+    store.vacuum()
+    assert sorted(p.name for p in (tmp_path / "index" / "docs").iterdir()) == ["segment_id=seg_000005"]
+    segments.save_snapshot(store.read("docs"), store.read("postings"), str(tmp_path / "snap"))
+    segments.save_snapshot(store.read("docs"), store.read("postings"), str(tmp_path / "snap"))
+    assert [x.count() for x in segments.load_snapshot(spark, str(tmp_path / "snap"))] == [4, 7]
     with pytest.raises(ValueError):
         SegmentStore(spark, str(tmp_path / "none")).merge()
 
