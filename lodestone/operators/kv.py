@@ -1,11 +1,12 @@
 """Keyed state with time to live, evaluated from a log of commands in closed form.
 
 ops(seq long, now_ms long, op, key, value, ttl_ms): seq orders the log and now_ms never falls along it (for logs where
-it does, see streaming.kv, which folds the rows of a key one by one). Every SET, SETEX, DEL or CLEAR opens an epoch
-of its key. In an epoch the first PERSIST decides: before the deadline the entry stays for good.
+it does, see streaming.kv, which folds the rows of a key one by one). CLEAR commands cut the log into eras; every SET,
+SETEX or DEL opens an epoch of its key within an era. In an epoch the first PERSIST decides: before the deadline the
+entry stays for good.
 
-Work is shuffled by key, and the few global commands (CLEAR, KEYS, DBSIZE) are looked up as-of through slices of seq,
-so no window runs over the whole log.
+Work is shuffled by key, and the few global commands (CLEAR, KEYS, DBSIZE) are looked up as-of through slices of seq or
+counted through spans of time, so no window runs over the whole log. The rows of one key and era meet in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESETS = ("SET", "SETEX", "DEL", "CLEAR")
+RESETS = ("SET", "SETEX", "DEL")
 READS = ("GET", "EXISTS", "TTL", "PERSIST")
 GLOBAL_READS = ("KEYS", "DBSIZE")
 #: Rows of the log (by seq) in a slice of the as-of lookup.
@@ -71,29 +72,59 @@ def reply_error(name: Column) -> Column:
     return F.concat(F.lit("-ERR "), name, F.lit("\r\n"))
 
 
+def _carried(per: DataFrame, at: str, m: str) -> DataFrame:
+    """(at, before): the largest m of all rows before, over slices of slices, so that one task has n / SLICE rows of them at most."""
+    over = F.floor(F.col(at) / SLICE)
+    earlier = (Window.unboundedPreceding, -1)
+    inner = per.withColumn("_over", over).withColumn("_in", F.max(m).over(Window.partitionBy("_over").orderBy(at).rowsBetween(*earlier)))
+    outer = per.groupBy(over.alias("_over")).agg(F.max(m).alias("_m"))
+    outer = outer.select("_over", F.max("_m").over(Window.orderBy("_over").rowsBetween(*earlier)).alias("_out"))
+    return inner.join(outer, "_over").select(at, F.greatest("_in", "_out").alias("before"))
+
+
+def last_before(ops: DataFrame, rows: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
+    """Adds to rows(seq) the seq and time of the last command of some kinds before: <name>_seq, <name>_now.
+
+    As-of by slices: the last one within the row's own slice, else the last of the slices before.
+    """
+    own = F.struct("seq", "now_ms")
+    marks = ops.where(F.col("op").isin(*kinds)).select("seq", own.alias("g"), F.lit(None).alias("_r"))
+    probe = rows.select(rows.seq, F.lit(None).alias("g"), F.struct(*rows.columns).alias("_r"))
+    slice_ = F.floor(F.col("seq") / SLICE)
+    both = probe.unionByName(marks.select("seq", "g", F.col("_r").cast(probe.schema["_r"].dataType))).withColumn("_slice", slice_)
+    inside = F.last("g", ignorenulls=True).over(Window.partitionBy("_slice").orderBy("seq", F.asc_nulls_first("g")))
+    per_slice = ops.groupBy(slice_.alias("_slice")).agg(F.max(F.when(F.col("op").isin(*kinds), own)).alias("m"))
+    found = both.withColumn("_in", inside).where(F.col("_r").isNotNull()).join(_carried(per_slice, "_slice", "m"), "_slice", "left")
+    g = F.coalesce("_in", "before")
+    return found.select("_r.*", g["seq"].alias(f"{name}_seq"), g["now_ms"].alias(f"{name}_now"))
+
+
 def keyed(ops: DataFrame) -> DataFrame:
-    """Rows of a key; a CLEAR becomes one row for each key. Global reads and PING are left out."""
+    """Rows of a key with their era: the seq of the last CLEAR before, -1 without. Global commands and PING are left out."""
     own = ops.where(F.col("key").isNotNull() & ~F.col("op").isin("CLEAR", *GLOBAL_READS, "PING"))
-    clears = ops.where("op = 'CLEAR'").drop("key")
-    every = own.select("key").distinct().join(clears, F.lit(True))  # a row per key and CLEAR is what it means
-    return own.unionByName(every)
+    own = own.select("seq", "now_ms", "op", "key", "value", "ttl_ms")
+    none = F.lit(-1).cast("long")
+    if not ops.where("op = 'CLEAR'").limit(1).count():
+        return own.withColumn("era", none)
+    return last_before(ops, own, ("CLEAR",), "c").withColumn("era", F.coalesce("c_seq", none)).drop("c_seq", "c_now")
 
 
 def with_epochs(ops: DataFrame) -> DataFrame:
-    """Adds to each keyed row its epoch and that epoch's opening (open_op, open_seq, open_value, dl, fp).
+    """Adds to each keyed row its era and epoch and that epoch's opening (open_op, open_seq, open_now, open_value, dl, fp).
 
     dl is the deadline of a SETEX, fp the time of the first PERSIST of the epoch at or before the row.
     """
-    order = Window.partitionBy("key").orderBy("seq")
+    order = Window.partitionBy("key", "era").orderBy("seq")
     rows = keyed(ops).withColumn("epoch", F.sum(F.col("op").isin(*RESETS).cast("long")).over(order))
-    within = Window.partitionBy("key", "epoch").orderBy("seq")
+    within = Window.partitionBy("key", "era", "epoch").orderBy("seq")
     opening = F.first(F.struct("op", "seq", "value", "now_ms", "ttl_ms")).over(within)
     rows = rows.withColumn("o", opening).withColumn("fp", F.min(F.when(F.col("op") == "PERSIST", F.col("now_ms"))).over(within))
     is_open = (F.col("epoch") > 0) & F.col("o.op").isin(*RESETS)
     return rows.select(
-        "seq", "now_ms", "op", "key", "value", "epoch", "fp",
+        "seq", "now_ms", "op", "key", "value", "era", "epoch", "fp",
         F.when(is_open, F.col("o.op")).alias("open_op"),
         F.when(is_open, F.col("o.seq")).alias("open_seq"),
+        F.when(is_open, F.col("o.now_ms")).alias("open_now"),
         F.when(is_open, F.col("o.value")).alias("open_value"),
         F.when(F.col("o.op") == "SETEX", F.col("o.now_ms") + F.col("o.ttl_ms")).alias("dl"),
     )
@@ -116,9 +147,12 @@ def ttl(now: Column) -> Column:
 
 def final_epochs(ops: DataFrame, until_seq: int | None = None) -> DataFrame:
     """The last epoch of each key, at the end of the log or after row until_seq. One shuffle by key."""
-    rows = with_epochs(ops if until_seq is None else ops.where(F.col("seq") <= until_seq))
-    last = rows.groupBy("key").agg(F.max_by(F.struct("epoch", "open_op", "open_seq", "open_value", "dl", "fp"), "seq").alias("e"))
-    return last.select("key", "e.*")
+    ops = ops if until_seq is None else ops.where(F.col("seq") <= until_seq)
+    last = with_epochs(ops).groupBy("key").agg(F.max_by(F.struct("era", "epoch", "open_op", "open_seq", "open_value", "dl", "fp"), "seq").alias("e"))
+    cleared = ops.where("op = 'CLEAR'").agg(F.max("seq").alias("cleared"))
+    last = last.select("key", "e.*").crossJoin(F.broadcast(cleared))  # a single row
+    gone = F.coalesce(F.col("cleared") > F.col("era"), F.lit(False))
+    return last.withColumn("open_op", F.when(gone, "CLEAR").otherwise(F.col("open_op"))).drop("era", "cleared")
 
 
 def state(ops: DataFrame, now: Column, until_seq: int | None = None) -> DataFrame:
@@ -142,29 +176,12 @@ def read_log(ops: DataFrame, op: str) -> DataFrame:
 def persist_log(ops: DataFrame) -> DataFrame:
     """(seq, key, result): 1 only for the PERSIST that takes the deadline of a live entry."""
     rows = with_epochs(ops)
-    order = Window.partitionBy("key", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "era", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.max(F.when(F.col("op") == "PERSIST", 1)).over(order)
     result = (F.col("open_op") == "SETEX") & (F.col("now_ms") < F.col("dl")) & earlier.isNull()
     return rows.withColumn("r", F.coalesce(result, F.lit(False)).cast("long")).where("op = 'PERSIST'").select("seq", "key", F.col("r").alias("result"))
 
 
-def last_global(ops: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds to rows(seq) the seq and time of the last KEYS or DBSIZE before: g_seq, g_now.
-
-    As-of by slices: the last one within the row's own slice, else the last of the slices before.
-    """
-    marks = ops.where(F.col("op").isin(*GLOBAL_READS)).select("seq", F.struct("seq", "now_ms").alias("g"), F.lit(None).alias("_r"))
-    probe = rows.select(rows.seq, F.lit(None).alias("g"), F.struct(*rows.columns).alias("_r"))
-    slice_ = F.floor(F.col("seq") / SLICE)
-    both = probe.unionByName(marks.select("seq", "g", F.col("_r").cast(probe.schema["_r"].dataType))).withColumn("_slice", slice_)
-    inside = F.last("g", ignorenulls=True).over(Window.partitionBy("_slice").orderBy("seq"))
-    per_slice = ops.groupBy(slice_.alias("_slice")).agg(F.max(F.when(F.col("op").isin(*GLOBAL_READS), F.struct("seq", "now_ms"))).alias("m"))
-    before = F.max("m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # a row per slice
-    found = both.withColumn("_in", inside).where(F.col("_r").isNotNull()).join(per_slice.select("_slice", before.alias("_b")), "_slice", "left")
-    g = F.coalesce("_in", "_b")
-    return found.select("_r.*", g["seq"].alias("g_seq"), g["now_ms"].alias("g_now"))
-
-
 def del_log(ops: DataFrame) -> DataFrame:
     """(seq, key, result): 1 if the key held an entry, expired or not, that no command had evicted yet.
 
@@ -172,12 +189,12 @@ def del_log(ops: DataFrame) -> DataFrame:
     """
     rows = with_epochs(ops)
     last_read = F.max_by(F.when(F.col("op").isin(*READS), F.col("now_ms")), F.when(F.col("op").isin(*READS), F.col("seq")))
-    spans = rows.groupBy("key", "epoch").agg(
+    spans = rows.groupBy("key", "era", "epoch").agg(
         F.max_by(F.struct("open_op", "open_seq", "dl", "fp"), "seq").alias("e"), last_read.alias("read_now")
     )
-    spans = spans.select("key", (F.col("epoch") + 1).alias("epoch"), "e.*", "read_now")
-    dels = rows.where("op = 'DEL'").select("seq", "key", "epoch")
-    joined = last_global(ops, dels.join(spans, ["key", "epoch"], "left"))
+    spans = spans.select("key", "era", (F.col("epoch") + 1).alias("epoch"), "e.*", "read_now")
+    dels = rows.where("op = 'DEL'").select("seq", "key", "era", "epoch")
+    joined = last_before(ops, dels.join(spans, ["key", "era", "epoch"], "left"), GLOBAL_READS, "g")
     late = F.coalesce(F.col("read_now") >= F.col("dl"), F.lit(False))
     swept = F.coalesce((F.col("g_seq") > F.col("open_seq")) & (F.col("g_now") >= F.col("dl")), F.lit(False))
     held = F.coalesce(F.col("open_op").isin("SET", "SETEX"), F.lit(False))
@@ -185,12 +202,87 @@ def del_log(ops: DataFrame) -> DataFrame:
     return joined.select("seq", "key", (held & ~F.coalesce(gone, F.lit(False))).cast("long").alias("result"))
 
 
+def lives(ops: DataFrame) -> DataFrame:
+    """(key, from_now, from_seq, to_now, to_seq): when entries are live, in the order of (time, seq); to_* null: to the end.
+
+    An entry ends with the key's next reset, the next CLEAR, or at its deadline: seq -1 there, before all commands.
+    """
+    rows = with_epochs(ops)
+    per = rows.where(F.col("epoch") > 0).groupBy("key", "era", "epoch").agg(
+        F.max_by(F.struct("open_op", "open_seq", "open_now", "dl", "fp"), "seq").alias("e")
+    )
+    following = F.lead(F.struct("e.open_now", "e.open_seq")).over(Window.partitionBy("key", "era").orderBy("epoch"))
+    per = per.withColumn("next", following).select("key", "era", "e.*", F.col("next.open_now").alias("n_now"), F.col("next.open_seq").alias("n_seq"))
+    clears = ops.where("op = 'CLEAR'").select("seq", "now_ms")
+    # the CLEAR that ends an era: a row for each CLEAR
+    first = clears.agg(F.min(F.struct("seq", "now_ms")).alias("n")).select(F.lit(-1).cast("long").alias("era"), "n")
+    ends = first.unionByName(clears.select(F.col("seq").alias("era"), F.lead(F.struct("seq", "now_ms")).over(Window.orderBy("seq")).alias("n")))
+    per = per.join(ends.where("n IS NOT NULL"), "era", "left")
+    end = F.coalesce(
+        F.when(F.col("n_seq").isNotNull(), F.struct(F.col("n_now").alias("now"), F.col("n_seq").alias("seq"))),
+        F.when(F.col("n").isNotNull(), F.struct(F.col("n.now_ms").alias("now"), F.col("n.seq").alias("seq"))),
+    )
+    late = F.when(~persisted(), F.struct(F.col("dl").alias("now"), F.lit(-1).cast("long").alias("seq")))
+    per = per.where(F.col("open_op").isin("SET", "SETEX") & (persisted() | (F.col("dl") > F.col("open_now")))).withColumn("end", F.least(end, late))
+    return per.select("key", F.col("open_now").alias("from_now"), F.col("open_seq").alias("from_seq"), F.col("end.now").alias("to_now"), F.col("end.seq").alias("to_seq"))
+
+
+def running(events: DataFrame) -> DataFrame:
+    """Adds to events(now, seq, delta) the sum of delta over all events before, in the order of (now, seq).
+
+    Within spans of time that hold about SLICE events each, after the sums of the spans before.
+    """
+    r = events.agg(F.min("now").alias("a"), F.max("now").alias("b"), F.count("*").alias("n")).first()
+    width = max(1, ((r.b or 0) - (r.a or 0)) // max(1, r.n // SLICE) + 1)
+    placed = events.withColumn("_span", F.floor(F.col("now") / F.lit(width)))
+    before = (Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("delta").over(Window.partitionBy("_span").orderBy("now", "seq").rowsBetween(*before)), F.lit(0))
+    spans = placed.groupBy("_span").agg(F.sum("delta").alias("_d"))
+    spans = spans.select("_span", F.coalesce(F.sum("_d").over(Window.orderBy("_span").rowsBetween(*before)), F.lit(0)).alias("_before"))
+    return placed.withColumn("_in", inside).join(spans, "_span").withColumn("before", (F.col("_in") + F.col("_before")).cast("long")).drop("_span", "_in", "_before")
+
+
+def dbsize_log(ops: DataFrame) -> DataFrame:
+    """(seq, live): what each DBSIZE saw. Entries that begin and end are summed; no command meets the keys."""
+    spans, one = lives(ops), lambda x: F.lit(x).cast("long")
+    nothing = F.lit(None).cast("long").alias("ask")
+    events = spans.select(F.col("from_now").alias("now"), F.col("from_seq").alias("seq"), one(1).alias("delta"), nothing)
+    ends = spans.where("to_now IS NOT NULL").select(F.col("to_now").alias("now"), F.col("to_seq").alias("seq"), one(-1).alias("delta"), nothing)
+    asks = ops.where("op = 'DBSIZE'").select(F.col("now_ms").alias("now"), "seq", one(0).alias("delta"), F.col("seq").alias("ask"))
+    return running(events.unionByName(ends).unionByName(asks)).where("ask IS NOT NULL").select(F.col("ask").alias("seq"), F.col("before").alias("live"))
+
+
+def keys_log(ops: DataFrame) -> DataFrame:
+    """(seq, keys array): what each KEYS saw, sorted. By definition one value with all live keys for each command.
+
+    KEYS commands are numbered; an entry is in those numbered after its begin and before its end.
+    """
+    spans, one = lives(ops), lambda x: F.lit(x).cast("long")
+    asks = ops.where("op = 'KEYS'").select(F.col("now_ms").alias("now"), "seq", one(1).alias("delta"), F.lit("ask").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("other"))
+    begins = spans.select(F.col("from_now").alias("now"), F.col("from_seq").alias("seq"), one(0).alias("delta"), F.lit("begin").alias("kind"), "key", F.col("from_seq").alias("other"))
+    ends = spans.where("to_now IS NOT NULL").select(F.col("to_now").alias("now"), F.col("to_seq").alias("seq"), one(0).alias("delta"), F.lit("end").alias("kind"), "key", F.col("from_seq").alias("other"))
+    placed = running(asks.unionByName(begins).unionByName(ends))
+    total = ops.where("op = 'KEYS'").agg(F.count("*").alias("all"))
+    life = placed.where("kind <> 'ask'").groupBy("key", "other").agg(F.max(F.when(F.col("kind") == "begin", F.col("before"))).alias("a"), F.max(F.when(F.col("kind") == "end", F.col("before"))).alias("b"))
+    life = life.crossJoin(F.broadcast(total)).withColumn("b", F.coalesce("b", "all")).where("b > a")  # a single row
+    seen = life.select("key", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("number"))
+    lists = seen.groupBy("number").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    numbers = placed.where("kind = 'ask'").select("seq", (F.col("before") + 1).alias("number"))
+    return numbers.join(lists, "number", "left").select("seq", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+
+
 def responses(ops: DataFrame) -> DataFrame:
-    """(seq, response) of all keyed commands and PING. KEYS and DBSIZE ask for all keys: use state()."""
-    out = ops.where(F.col("op").isin("SET", "SETEX", "CLEAR")).select("seq", reply_ok().alias("response"))
+    """(seq, response) of every command. Rows with an error, if ops has such a column, get an error reply and do nothing else."""
+    out = None
+    if "error" in ops.columns:
+        out = ops.where("error IS NOT NULL").select("seq", reply_error(F.col("error")).alias("response"))
+        ops = ops.where("error IS NULL").drop("error")
+    fine = ops.where(F.col("op").isin("SET", "SETEX", "CLEAR")).select("seq", reply_ok().alias("response"))
+    out = fine if out is None else out.unionByName(fine)
     out = out.unionByName(ops.where("op = 'PING'").select("seq", F.lit("+PONG\r\n").alias("response")))
     for op, reply in (("GET", reply_value(F.col("value"))), ("EXISTS", reply_int(F.col("live").cast("int"))), ("TTL", reply_int(F.col("ttl")))):
         out = out.unionByName(read_log(ops, op).select("seq", reply.alias("response")))
     for log in (persist_log(ops), del_log(ops)):
         out = out.unionByName(log.select("seq", reply_int(F.col("result")).alias("response")))
-    return out
+    out = out.unionByName(dbsize_log(ops).select("seq", reply_int(F.col("live")).alias("response")))
+    return out.unionByName(keys_log(ops).select("seq", reply_list(F.col("keys")).alias("response")))

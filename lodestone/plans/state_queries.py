@@ -137,12 +137,55 @@ def kv_parse(spark, d):
 r AS (SELECT seq, '+OK' AS response FROM ops WHERE op IN ('SET', 'SETEX')
 UNION ALL SELECT seq, coalesce('$' || CASE WHEN {SEEN_LIVE} THEN open_value END, '$nil') FROM judged WHERE op = 'GET'
 UNION ALL SELECT seq, ':' || coalesce(r, 0) FROM p
-UNION ALL SELECT seq, ':' || CAST(coalesce(open_op IN ('SET', 'SETEX'), false) AND NOT coalesce(NOT kept AND (read_now >= dl OR coalesce(g_now >= dl, false)), false) AS BIGINT) FROM dels)
+UNION ALL SELECT seq, ':' || CAST(coalesce(open_op IN ('SET', 'SETEX'), false) AND NOT coalesce(NOT kept AND (read_now >= dl OR coalesce(g_now >= dl, false)), false) AS BIGINT) FROM dels
+UNION ALL SELECT o.seq, ':' || (SELECT count(*) FROM (SELECT DISTINCT ON (key) key, kept OR open_op = 'SETEX' AND o.now_ms < dl AS live FROM judged j WHERE j.seq < o.seq ORDER BY key, j.seq DESC) WHERE live) FROM ops o WHERE op = 'DBSIZE')
 SELECT seq, response || chr(13) || chr(10) AS response FROM r""")
 def kv_responses(spark, d):
     return kv.responses(ops(spark, d))
 
 
+# A log with all commands and broken lines, by event_id; everything else as in OPS.
+KINDS = (("PING", 97, 0), ("CLEAR", 499, 1), ("KEYS", 211, 2), ("DBSIZE", 197, 3), ("EXISTS", 13, 4), ("TTL", 11, 5))
+ALL = f"""ops AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS now_ms, CASE {' '.join(f"WHEN event_id % {m} = {r} THEN '{k}'" for k, m, r in KINDS)} WHEN event_type = 'signup' THEN 'SET'
+WHEN event_type = 'click' THEN 'SETEX' WHEN event_type = 'purchase' THEN 'PERSIST' WHEN event_type = 'error' THEN 'DEL' ELSE 'GET' END AS op,
+CAST(user_id AS VARCHAR) AS key, 'v' || event_id AS value FROM events WHERE event_id % 101 <> 7),
+own AS (SELECT * FROM ops WHERE op NOT IN ('PING', 'CLEAR', 'KEYS', 'DBSIZE')), names AS (SELECT DISTINCT key FROM own),
+resets AS (SELECT key, seq, op, value, now_ms + {DAY_MS} AS dl FROM own WHERE op IN ('SET', 'SETEX', 'DEL') UNION ALL SELECT names.key, seq, op, NULL, NULL FROM ops, names WHERE op = 'CLEAR'),
+asked AS (SELECT seq, now_ms, op, key FROM own UNION ALL SELECT seq, now_ms, op, names.key FROM ops, names WHERE op IN ('KEYS', 'DBSIZE')),
+held AS (SELECT p.*, r.seq AS s, r.op AS o, r.value, CASE WHEN r.op = 'SETEX' THEN r.dl END AS dl FROM asked p ASOF LEFT JOIN resets r ON p.key = r.key AND p.seq > r.seq),
+between_ AS (SELECT h.seq, h.key, min(CASE WHEN q.op = 'PERSIST' THEN q.now_ms END) AS fp, max(q.now_ms) AS seen FROM held h JOIN own q ON q.key = h.key AND q.seq > h.s AND q.seq < h.seq AND q.op IN ('GET', 'EXISTS', 'TTL', 'PERSIST') GROUP BY 1, 2),
+swept AS (SELECT h.seq, h.key, max(g.now_ms) AS g FROM held h JOIN ops g ON g.op IN ('KEYS', 'DBSIZE') AND g.seq > h.s AND g.seq < h.seq WHERE h.op = 'DEL' GROUP BY 1, 2),
+known AS (SELECT h.*, fp, greatest(seen, g) AS seen, coalesce(o = 'SET' OR o = 'SETEX' AND fp < dl, false) AS kept FROM held h LEFT JOIN between_ USING (seq, key) LEFT JOIN swept USING (seq, key)),
+judged AS (SELECT *, kept OR coalesce(o = 'SETEX' AND now_ms < dl, false) AS live FROM known),
+r AS (SELECT seq, '+OK' AS response FROM ops WHERE op IN ('SET', 'SETEX', 'CLEAR') UNION ALL SELECT seq, '+PONG' FROM ops WHERE op = 'PING'
+UNION ALL SELECT event_id, '-ERR UnknownCommand' FROM events WHERE event_id % 101 = 7
+UNION ALL SELECT seq, CASE op WHEN 'GET' THEN coalesce('$' || CASE WHEN live THEN value END, '$nil') WHEN 'EXISTS' THEN ':' || CAST(live AS INTEGER)
+WHEN 'TTL' THEN ':' || CASE WHEN NOT live THEN -2 WHEN kept THEN -1 ELSE dl - now_ms END WHEN 'PERSIST' THEN ':' || CAST(live AND NOT kept AS INTEGER)
+WHEN 'DEL' THEN ':' || CAST(coalesce(o IN ('SET', 'SETEX'), false) AND (kept OR NOT coalesce(seen >= dl, false)) AS INTEGER) END FROM judged WHERE op IN ('GET', 'EXISTS', 'TTL', 'PERSIST', 'DEL')
+UNION ALL SELECT seq, ':' || count(*) FILTER (live) FROM judged WHERE op = 'DBSIZE' GROUP BY seq
+UNION ALL SELECT seq, '$' || coalesce(string_agg(key, ' ' ORDER BY key) FILTER (live), '') FROM judged WHERE op = 'KEYS' GROUP BY seq)"""
+
+
+def all_ops(spark, d):
+    log, seq = ops(spark, d), F.col("seq")
+    op = F
+    for name, m, r in KINDS:
+        op = op.when(seq % m == r, name)
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type", F.col("user_id").cast("string").alias("user"))
+    for event, name in (("signup", "SET"), ("click", "SETEX"), ("purchase", "PERSIST"), ("error", "DEL")):
+        op = op.when(F.col("event_type") == event, name)
+    found = log.drop("op", "key").join(e, "seq").withColumn("op", op.otherwise("GET"))
+    key = F.when(~F.col("op").isin("PING", "CLEAR", "KEYS", "DBSIZE"), F.col("user"))
+    error = F.when(seq % 101 == 7, "UnknownCommand")
+    return found.select("seq", "now_ms", "op", key.alias("key"), "value", "ttl_ms", error.alias("error"))
+
+
+@query(f"WITH {ALL} SELECT seq, response || chr(13) || chr(10) AS response FROM r")
+def kv_all_responses(spark, d):
+    """Replies to all eleven commands and to broken lines, each at its time."""
+    return kv.responses(all_ops(spark, d))
+
+
 BLOCK = 64
 HEX = f"""files AS (SELECT source || '/' || doc_id AS path, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) > 0),
 cut AS (SELECT path, unnest(range(CAST(ceil(length(h) / {2 * BLOCK}.0) AS BIGINT))) AS idx, h FROM files),
@@ -244,8 +287,8 @@ def md5_key(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.concat("source", F.col("doc_id").cast("string"))).alias("digest"))
 
 
-# Ages that give all three states: the last heartbeats are at most hours apart.
-SUSPECT_S, DEAD_S, SILENT = 60.0, 600.0, 3
+# Ages that give all three states at sf0.01, and at least three nodes that are alive.
+SUSPECT_S, DEAD_S, SILENT = 1500.0, 12000.0, 3
 BEATS = f"""beats AS (SELECT event_id AS arrival_seq, 'node-' || (user_id % 10) AS id, 'host-' || (user_id % 10) || ':' || (event_id % 3) AS addr, CAST(1000 AS BIGINT) AS capacity,
 least(1000, greatest(0, CAST(trunc(value) AS BIGINT))) AS used, ts AS time FROM events WHERE NOT (user_id % 10 < {SILENT} AND event_id % 1000 > 500 - 150 * (user_id % 10))),
 latest AS (SELECT DISTINCT ON (id) id, addr, capacity, used, time AS last_seen FROM beats ORDER BY id, arrival_seq DESC),

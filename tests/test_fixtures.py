@@ -139,6 +139,72 @@ def test_kv_script(spark):
     assert sorted((r.seq, r.response) for r in kv_stream.responses_batch(ops).collect()) == want
 
 
+def sequential(log):
+    """Replies of one pass over the whole log, with the eviction of the reference semantics."""
+    store, out = {}, []
+
+    def late(key, now):
+        return key in store and store[key][1] is not None and now >= store[key][1]
+
+    for seq, now, op, key, value, ttl in log:
+        if op in ("GET", "EXISTS", "TTL", "PERSIST") and late(key, now):
+            del store[key]
+        if op in ("KEYS", "DBSIZE"):
+            for k in [k for k in store if late(k, now)]:
+                del store[k]
+        if op in ("SET", "SETEX"):
+            store[key], reply = (value, now + ttl if op == "SETEX" else None), "+OK"
+        elif op == "CLEAR":
+            store, reply = {}, "+OK"
+        elif op == "DEL":
+            reply = f":{int(store.pop(key, None) is not None)}"
+        elif op == "GET":
+            reply = f"${store[key][0]}" if key in store else "$nil"
+        elif op == "EXISTS":
+            reply = f":{int(key in store)}"
+        elif op == "TTL":
+            reply = ":-2" if key not in store else ":-1" if store[key][1] is None else f":{store[key][1] - now}"
+        elif op == "PERSIST":
+            reply = f":{int(key in store and store[key][1] is not None)}"
+            if key in store:
+                store[key] = (store[key][0], None)
+        else:
+            reply = {"PING": "+PONG", "DBSIZE": f":{len(store)}", "KEYS": "$" + " ".join(sorted(store))}[op]
+        out.append((seq, reply + "\r\n"))
+    return out, store
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_logs_equal_a_sequential_fold(spark, monkeypatch, seed):
+    import random
+
+    monkeypatch.setattr(kv, "SLICE", 64)  # as-of lookups and sums go over many slices
+    rng, log, now = random.Random(seed), [], 0
+    for seq in range(1500):
+        now += rng.choice([0, 0, 1, 3, 20])
+        op = rng.choices(list(kv.ARITY), [1, 6, 4, 5, 3, 8, 4, 5, 1, 1, 0.3 if seed else 0])[0]
+        alone = op in ("PING", "KEYS", "DBSIZE", "CLEAR")
+        log.append((seq, now, op, None if alone else f"k{rng.randrange(12)}", f"v{seq}", rng.choice([0, 5, 40, 200])))
+    ops = spark.createDataFrame(log, "seq long, now_ms long, op string, key string, value string, ttl_ms long")
+    want, store = sequential(log)
+    assert sorted((r.seq, r.response) for r in kv.responses(ops).collect()) == want
+    live = {k: v for k, v in store.items() if v[1] is None or now < v[1]}
+    assert {r.key: (r.value, r.expires_at_ms) for r in kv.state(ops, F.lit(now)).collect()} == live
+
+
+def test_health_stream(spark, tmp_path):
+    from lodestone.streaming import health
+
+    beats = [(1, "a", "h:1", 10, 1, 5), (2, "b", "h:2", 10, 2, 6), (3, "a", "h:9", 10, 7, 4), (4, "", "x", 1, 1, 1), (5, "c", "", 1, 1, 1)]
+    frame = spark.createDataFrame(beats, "arrival_seq long, id string, addr string, capacity long, used long, t long").withColumn("time", F.timestamp_seconds("t")).drop("t")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    got = []
+    run = health.node_states(stream, timers=False).writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r.id, r.addr, r.used, r.state) for r in got) == [("a", "h:9", 7, "alive"), ("b", "h:2", 2, "alive")]
+
+
 def test_kv_stream(spark, tmp_path):
     rows = [(i, t, op, "k", v, ttl) for i, (op, v, ttl, t) in enumerate(SCRIPT)]
     ops = spark.createDataFrame(rows, "seq long, now_ms long, op string, key string, value string, ttl_ms long")
