@@ -2,7 +2,8 @@
 
 1. Dated list events (add or remove of a host, a domain or a URL prefix) become validity intervals: an added entry
    holds until the next event of the same list, kind and value; an addition while it holds changes nothing.
-2. A capture's keys are its host, the host and its parent domains, and its URL prefixes by path segment.
+2. A capture's keys are its host, the host and its parent domains, and its URL prefixes by path segment, no longer than
+   the longest domain and prefix that the lists have: a key's size doesn't grow with the square of a URL's.
 3. An as-of join on (kind, value) with the fetch time inside the interval finds the active entries.
 
 Only the capture's id, time and keys are moved. Intervals are broadcast while their counted number is under a bound;
@@ -45,25 +46,26 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.select("list", "kind", "value", F.col("at").alias("since"), "until")
 
 
-def keys(url: Column) -> Column:
-    """array<struct<kind, value>> of a url."""
+def keys(url: Column, labels_most: int = 127, parts_most: int = 64) -> Column:
+    """array<struct<kind, value>> of a url: domains of up to labels_most labels, prefixes of up to parts_most segments."""
     h, p = host(url), F.lower(path(url))
     labels = F.split(h, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
+    parents = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (labels_most - 1)), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
     parts = F.filter(F.split(p, "/"), lambda s: s != "")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("value"))
+        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(parts_most))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("value"))
     )
     own = F.array(F.struct(F.lit("host").alias("kind"), h.alias("value")))
-    return F.when(h != "", F.concat(own, parents, F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))))
+    return F.when(h != "", F.concat(own, parents if labels_most > 0 else F.array().cast("array<struct<kind:string,value:string>>"), F.when((F.size(parts) > 0) & F.lit(parts_most > 0), prefixes).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))))
 
 
 def matches(captures: DataFrame, events: DataFrame, id_column: str = "page_id") -> DataFrame:
     """(id, at, list, kind, value): active entries of captures(id, url, at)."""
     spans = intervals(events)
-    n = spans.count()
+    long = lambda kind, by: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("value", by)))), F.lit(0))
+    n, labels, segments = spans.agg(F.count("*"), long("domain", r"\."), long("prefix", "/")).first()
     spans = F.broadcast(spans) if n <= BROADCAST_ROWS else spans
-    keyed = captures.where(F.col("at").isNotNull()).select(F.col(id_column), "url", "at", F.inline(keys(F.col("url"))))
+    keyed = captures.where(F.col("at").isNotNull()).select(F.col(id_column), "url", "at", F.inline(keys(F.col("url"), labels, segments)))
     active = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     return keyed.join(spans, ["kind", "value"]).where(active).select(id_column, "url", "at", "list", "kind", "value").distinct()
 

@@ -355,6 +355,19 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), ev).count() == 0 and url_filter.judge(df, ev.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_takes_very_long_urls_and_odd_columns(spark):
+    """Keys follow the lists' longest entries, not the URL's length; repeated captures are one row; other columns aren't read."""
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    deep = "http://a.b.c.example.org/" + "/".join(f"s{i}" for i in range(20_000))
+    rows = [(1, deep), (2, "http://" + "x." * 5000 + "evil.org/"), (3, "http://c.com/x/y/z"), (3, "http://c.com/x/y/z"), (4, "")]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, kind string, `a.b` int").withColumn("at", at).withColumn("value", F.lit(2))
+    events = [("m", "prefix", "a.b.c.example.org/s0/s1", "add"), ("m", "domain", "evil.org", "add"), ("m", "prefix", "c.com/x/y", "add"), ("m", "prefix", "c.com/x/y", "add")]
+    ev = spark.createDataFrame(events, "list string, kind string, value string, action string").withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    got = {r.page_id: (r.blocked, r.n_entries) for r in url_filter.judge(df, ev).collect()}
+    assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (False, 0)}
+    assert url_filter.keys(F.col("u"), 0, 0) is not None
+
+
 # --- 7 benchmark items
 
 
