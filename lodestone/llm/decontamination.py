@@ -4,7 +4,10 @@
    shares a shingle with it, so windows are laid where a document's shingle is one of an item's: as long as the item,
    with that shingle in the item's place or at the window's start, and moved into the text where they would stick out.
 2. Each window's shingles make a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks; two of at most RADIUS
-   different bits agree in a block, so an equi-join on (item size, block, value) finds all of them.
+   different bits agree in a block. At this radius blocks are of 2 or 3 bits and sort out little, so the index is by
+   item shingle and block: a window that is similar enough lacks at most a known share of an item's shingles, hence has
+   one of as many and one more, chosen as those that the fewest items have. An equi-join on (item size, such a shingle,
+   block, value) finds all pairs within the radius that can be similar.
 3. Candidates within the radius are verified: the weighted Jaccard similarity of shingles, weights being how often a
    shingle stands in the window and in the item.
 
@@ -19,7 +22,7 @@ rows of a document id are one document; an empty benchmark drops nothing; extra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, written
@@ -104,13 +107,7 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int) -> D
     again = again.select("doc_id", F.expr(_words("t")).alias("w")).select("doc_id", F.expr(_shingles("w", width)).alias("h"))
     laid = again.join(windows, "doc_id").select("doc_id", "m", "start", F.expr("slice(h, start + 1, m)").alias("h"))
     laid = written(laid.withColumn("fp", F.expr(_SIMHASH)), "fingerprints")
-    own = items.select("item_id", F.size("h").alias("m"), F.expr(_SIMHASH).alias("fp"))
-    blocks = F.array(*_fingerprint_blocks())
-    left = laid.select("doc_id", "m", "start", "fp", F.inline(blocks))
-    right = own.select("item_id", "m", F.col("fp").alias("item_fp"), F.inline(blocks))
-    different = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    pairs = left.join(_maybe_broadcast(right, n_grams * len(_BLOCKS)), ["m", "block", "value"]).where(F.bit_count(different) <= RADIUS)
-    pairs = pairs.select("doc_id", "m", "start", "item_id").distinct()
+    pairs = candidates(laid, items, percent)
     bag = laid.join(pairs, ["doc_id", "m", "start"]).select("doc_id", "item_id", "m", "start", F.size("h").alias("k"), F.explode("h").alias("x"))
     bag = bag.groupBy("doc_id", "item_id", "m", "start", "k", "x").agg(F.count("*").alias("in_window"))
     in_item = grams.groupBy("item_id", "x").agg(F.count("*").alias("in_item"))
@@ -122,6 +119,33 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int) -> D
     return good.groupBy("doc_id", "item_id").agg(best, F.max("similarity").alias("similarity"))
 
 
+def rare_shingles(items: DataFrame, percent: int) -> DataFrame:
+    """(item_id, m, x): shingles of items(item_id, h) of which a window that is similar enough has at least one.
+
+    Of an item's m shingles, repeats included, such a window has percent at least, be it shorter than the item or not.
+    """
+    grams = items.select("item_id", F.size("h").alias("m"), F.posexplode("h").alias("q", "x"))
+    items_with = grams.groupBy("x").agg(F.countDistinct("item_id").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "x", "q"))
+    ranked = grams.join(items_with, "x").withColumn("rank", rank)
+    most = F.floor(F.col("m") * (100 - percent) / 100) + 1
+    return ranked.where(F.col("rank") <= most).select("item_id", "m", "x").distinct()
+
+
+def candidates(laid: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, m, start, item_id): pairs of windows(doc_id, m, start, h, fp) and items that the index doesn't sort out."""
+    rare = rare_shingles(items, percent)
+    own = items.select("item_id", F.size("h").alias("m"), F.expr(_SIMHASH).alias("fp")).join(rare, ["item_id", "m"])
+    blocks, n = F.array(*_fingerprint_blocks()), rare.count()
+    marks = _maybe_broadcast(rare.select("m", "x").distinct(), n)
+    left = laid.select("doc_id", "m", "start", "fp", F.explode(F.array_distinct("h")).alias("x")).join(marks, ["m", "x"])
+    left = left.select("doc_id", "m", "start", "x", "fp", F.inline(blocks))
+    right = own.select("item_id", "m", "x", F.col("fp").alias("item_fp"), F.inline(blocks))
+    different = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    pairs = left.join(_maybe_broadcast(right, n * len(_BLOCKS)), ["m", "x", "block", "value"]).where(F.bit_count(different) <= RADIUS)
+    return pairs.select("doc_id", "m", "start", "item_id").distinct()
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without those that hold an item; all columns stay."""
     bad = contaminated(docs.select("doc_id", "text"), benchmark, width, percent).select("doc_id").distinct()

@@ -43,7 +43,7 @@ def passages(rows, n):
 
 
 def contaminated(rows, items, k=5, percent=80):
-    """{(doc, item)}: an item-sized window, laid where a shingle is in the item's place, is similar enough."""
+    """{(doc, item)}: any item-sized window of the document, wherever it begins, is similar enough."""
     from collections import Counter
 
     out = set()
@@ -56,10 +56,14 @@ def contaminated(rows, items, k=5, percent=80):
                 continue
             x = [tuple(w[a : a + width]) for a in range(len(w) - width + 1)]
             y = [tuple(v[a : a + width]) for a in range(len(v) - width + 1)]
-            starts = {max(0, min(p - q, len(x) - len(y))) for p, g in enumerate(x) for q, h in enumerate(y) if g == h}
-            for s in starts:
-                a, b = Counter(x[s : s + len(y)]), Counter(y)
+            there = set(y)
+            if not there & set(x):
+                continue
+            b = Counter(y)
+            for s in range(max(1, len(x) - len(y) + 1)):
+                a = Counter(x[s : s + len(y)])
                 common = sum((a & b).values())
                 if 100 * common >= percent * (sum(a.values()) + sum(b.values()) - common):
                     out.add((i, j))
+                    break
     return out

@@ -384,6 +384,30 @@ def test_decontamination(docs_of, spark):
     assert decontamination.clean(docs_of(texts), bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_sorts_out_most_pairs_and_loses_none(docs_of, spark):
+    """Items of few sizes and common phrases, edited up to and over the threshold, held against all windows of all texts."""
+    rng = random.Random(77)
+    common = words(rng, 8, 10**6)
+    items = [(i, f"{words(rng, 10 + 4 * (i % 3), 10**6)} {common} {words(rng, 12, 30)}") for i in range(60)]
+    texts = []
+    for i in range(240):
+        inner = items[rng.randrange(60)][1] if i % 4 else common
+        if i % 4 == 3:  # parts in another order
+            w = inner.split(" ")
+            inner = " ".join(w[len(w) // 2 :] + w[: len(w) // 2])
+        texts.append(" ".join([words(rng, rng.randrange(40), 30), edited(rng, inner, rng.choice([0, 0.02, 0.05])), words(rng, rng.randrange(40), 30)]).strip())
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(texts)
+    want = brute.contaminated(list(enumerate(texts)), items)
+    got = [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs.unionByName(docs.limit(30)), bench.withColumn("a.b", F.lit(1))).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+    found = decontamination.items_of(bench)
+    other = found.select((F.col("item_id") + 1000).alias("doc_id"), F.size("h").alias("m"), F.lit(0).alias("start"), "h", F.expr(decontamination._SIMHASH).alias("fp"))
+    pairs = other.alias("a").join(found.alias("b"), F.size("a.h") == F.size("b.h")).count() - 60
+    kept = decontamination.candidates(other, found, 80).where("doc_id <> item_id + 1000").count()
+    assert kept <= 0.05 * pairs
+
+
 def test_item_with_swapped_halves_is_found(docs_of, spark):
     rng = random.Random(51)
     item = words(rng, 100, 10**6).split(" ")
