@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,17 +24,21 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "file:///tmp/lodestone-checkpoints"
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors, through Spark, unless it was sent in this session."""
-    root = Path(__file__).resolve().parent.parent
-    name = f"{root.name}-source.zip"
-    sent = spark.sparkContext._python_includes
-    if name not in sent:
-        path = os.path.join(tempfile.mkdtemp(), name)
+    """Send this package's source to the executors, through Spark, unless it was sent in this application."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app not in _shipped:
+        folder = tempfile.mkdtemp()  # the driver's own: Spark serves the file from there until the driver ends
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, f"{root.name}-source.zip")
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
     return spark
 
 

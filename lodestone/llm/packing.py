@@ -162,7 +162,10 @@ def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Patterns and whole numbers of sequences, from the linear program rounded down."""
+    """Patterns and whole numbers of sequences, from the linear program rounded down.
+
+    After `steps` new patterns the program is taken as it is: a few more sequences perhaps, but every piece has its place.
+    """
     k = len(sizes)
     if not k:
         return []
