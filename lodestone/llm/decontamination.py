@@ -90,7 +90,8 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int) -> D
     exploded = hashed.select("doc_id", F.size("h").alias("n"), F.posexplode_outer("h").alias("p", "x")).where("x IS NOT NULL")
     # a shingle's places in items, each once for the size of the item: windows don't depend on the item
     spots = grams.select("x", "m", "q").distinct()
-    hits = exploded.join(_maybe_broadcast(spots, n_grams), "x")
+    # written, as three kinds of windows are laid from it: texts are split once
+    hits = written(exploded.join(_maybe_broadcast(spots, n_grams), "x").select("doc_id", "n", "m", "p", "q"), "hits")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
     in_place = hits.select("doc_id", "m", start.alias("start"))
     # a window may be moved right to its first shared shingle, or to the text's end: none is lost, whatever the order of
