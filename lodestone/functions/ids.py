@@ -30,3 +30,14 @@ def segment_number(segment_id: Column) -> Column:
 
 def segment_name(number: Column) -> Column:
     return F.format_string("seg_%06d", number)
+
+
+def path_from_url(url_path: Column) -> Column:
+    """/files/<x> is the file /<x>; other paths get a slash in front; null if no name is left."""
+    path = F.concat(F.lit("/"), F.regexp_replace(url_path, "^/files/", ""))
+    return F.when(path != "/", path)
+
+
+def url_from_path(path: Column) -> Column:
+    """The inverse of path_from_url()."""
+    return F.concat(F.lit("/files/"), F.regexp_replace(path, "^/", ""))

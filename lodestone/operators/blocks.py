@@ -9,34 +9,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import block_id
+from .cluster import alive_nodes
 
 #: Fixed value: the block size of the command line.
 BLOCK_SIZE = 64 * 1024 * 1024
+NODES = "array<struct<node_id:string,addr:string>>"
+METADATA = f"path string, size long, blocks array<struct<idx:long,id:string,bytes:long,checksum:string,nodes:{NODES}>>"
 
 
-def split_blocks(files: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def split_blocks(files: DataFrame, block_size: int = BLOCK_SIZE, *more: str) -> DataFrame:
     """Blocks of exactly block_size bytes, the last shorter; an empty or null file has none.
 
-    The blocks are cut as the rows are made, so a file's bytes exist once.
+    The blocks are cut as the rows are made, so a file's bytes exist once. more: columns of files to keep.
     """
     if block_size <= 0:
         raise ValueError("a block has a positive size")
     size = F.octet_length("content")
     last = F.floor((size - 1) / block_size).cast("long")
-    indexes = files.where(size > 0).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx"))
+    indexes = files.where(size > 0).select("path", "content", *more, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx"))
     data = F.substring(F.col("content"), (F.col("idx") * block_size + 1).cast("int"), F.lit(block_size))
-    blocks = indexes.select("path", "idx", data.alias("data"))
+    blocks = indexes.select("path", "idx", data.alias("data"), *more)
     return blocks.select(
         "path", "idx", block_id(F.col("idx"), F.col("data")).alias("id"), F.octet_length("data").cast("long").alias("size"),
-        F.sha2("data", 256).alias("checksum"), "data",
+        F.sha2("data", 256).alias("checksum"), "data", *more,
     )
 
 
 def reassemble(blocks: DataFrame) -> DataFrame:
-    """(path, content) from blocks(path, idx, data), in the order of idx."""
-    parts = F.array_sort(F.collect_list(F.struct("idx", F.hex("data").alias("h"))))
-    joined = F.array_join(F.transform(parts, lambda x: x["h"]), "")
-    return blocks.groupBy("path").agg(F.unhex(joined).alias("content"))
+    """(path, content) from blocks(path, idx, data), in the order of idx. A cell holds 2 GB at most.
+
+    FileStore.get() writes longer files, block by block.
+    """
+    return blocks.groupBy("path").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY idx)").alias("content"))
+
+
+def allocate_files(files: DataFrame, nodes: DataFrame, replicas: int, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Adds nodes and status to files(path, content): where all blocks of a file go, or why it can't be stored.
+
+    Placement reserves no space, so each block goes to the same nodes: the alive ones with most free bytes, then the
+    smaller id, if as many as replicas have room for the file's largest block. status: ok, empty_path, no_alive_nodes
+    (none has room) or not_enough_nodes. Files without bytes need no node.
+    """
+    free = alive_nodes(nodes).select("id", "addr", (F.col("capacity") - F.col("used")).alias("free"))
+    best = free.orderBy(F.desc("free"), "id").limit(max(0, replicas))
+    top = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("free")).alias("full"), F.col("id").alias("node_id"), "addr"))).alias("top"))
+    largest = F.least(F.coalesce(F.octet_length("content"), F.lit(0)), F.lit(block_size))
+    fits = F.filter("top", lambda n: -n["full"] >= largest)
+    status = (
+        F.when(F.coalesce("path", F.lit("")) == "", "empty_path")
+        .when(largest == 0, "ok")
+        .when(F.lit(replicas) <= 0, "not_enough_nodes")
+        .when(F.size(fits) == 0, "no_alive_nodes")
+        .when(F.size(fits) < replicas, "not_enough_nodes")
+        .otherwise("ok")
+    )
+    names = F.transform("top", lambda n: F.struct(n["node_id"], n["addr"])).cast(NODES)
+    joined = files.select("path", "content").crossJoin(F.broadcast(top))  # one row of `replicas` nodes at most
+    return joined.select("path", "content", names.alias("nodes"), status.alias("status"))
+
+
+def placed_blocks(placed: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """split_blocks() of the files that are ok, with their nodes."""
+    return split_blocks(placed.where("status = 'ok'"), block_size, "nodes")
+
+
+def placed_metadata(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, size, blocks) of the files that are ok, from blocks(path, idx, id, size, checksum, nodes)."""
+    listed = F.array_sort(F.collect_list(F.struct("idx", "id", F.col("size").alias("bytes"), "checksum", "nodes")))
+    per_file = blocks.groupBy("path").agg(F.sum("size").alias("size"), listed.alias("blocks"))
+    empty = placed.where("status = 'ok'").where(F.coalesce(F.octet_length("content"), F.lit(0)) == 0)
+    none = F.array().cast(f"array<struct<idx:long,id:string,bytes:long,checksum:string,nodes:{NODES}>>")
+    return per_file.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), none.alias("blocks")))
 
 
 def file_metadata(files: DataFrame, blocks: DataFrame, replicas: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def unregister(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("id"), "id", "left_anti")
 
 
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The registered ones of ids(id); the whole frame is the list."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def update_state(nodes: DataFrame, node_id: str, state: str) -> DataFrame:
     """Set a node's state; a missing node changes nothing."""
     if state not in STATES:

@@ -6,7 +6,7 @@ SETEX or DEL opens an epoch of its key within an era. In an epoch the first PERS
 entry stays for good.
 
 Work is shuffled by key, and the few global commands (CLEAR, KEYS, DBSIZE) are looked up as-of through slices of seq or
-counted through spans of time, so no window runs over the whole log. The rows of one key and era meet in one task.
+counted through spans of time, so no window runs over the whole log. A key of many rows is cut into slices of seq too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ READS = ("GET", "EXISTS", "TTL", "PERSIST")
 GLOBAL_READS = ("KEYS", "DBSIZE")
 #: Rows of the log (by seq) in a slice of the as-of lookup.
 SLICE = 1 << 16
+#: Keys of more than SLICE rows that are broadcast at most; more are joined by shuffles.
+MOST_BROADCAST = 100_000
 
 # The number of arguments of each command.
 ARITY = {"PING": 0, "GET": 1, "SET": 2, "DEL": 1, "EXISTS": 1, "SETEX": 3, "TTL": 1, "PERSIST": 1, "KEYS": 0, "DBSIZE": 0, "CLEAR": 0}
@@ -109,23 +111,52 @@ def keyed(ops: DataFrame) -> DataFrame:
     return last_before(ops, own, ("CLEAR",), "c").withColumn("era", F.coalesce("c_seq", none)).drop("c_seq", "c_now")
 
 
+def _opened(rows: DataFrame, *part: str) -> DataFrame:
+    """Adds epoch, o (the epoch's opening) and p (its first PERSIST up to the row) within the rows that agree in part."""
+    reset = F.col("op").isin(*RESETS)
+    order = Window.partitionBy(*part).orderBy("seq")
+    opening = F.last(F.when(reset, F.struct("op", "seq", "value", "now_ms", "ttl_ms")), ignorenulls=True).over(order)
+    rows = rows.withColumn("epoch", F.sum(reset.cast("long")).over(order)).withColumn("o", opening)
+    first = F.min(F.when(F.col("op") == "PERSIST", F.struct("now_ms", "seq"))).over(Window.partitionBy(*part, "epoch").orderBy("seq"))
+    return rows.withColumn("p", first)
+
+
+def _opened_in_slices(rows: DataFrame) -> DataFrame:
+    """_opened() by key and era, where no task gets more than a slice of a key: what earlier slices leave is carried on."""
+    part = ("key", "era", "_slice")
+    own = _opened(rows.withColumn("_slice", F.floor(F.col("seq") / SLICE)), *part)
+    per = own.groupBy(*part).agg(F.max("epoch").alias("n"), F.max_by(F.struct("o", "p"), "seq").alias("last"))
+    order = Window.partitionBy("key", "era").orderBy("_slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_run", F.sum((F.col("n") > 0).cast("long")).over(order))
+    per = per.withColumn("_p", F.min("last.p").over(Window.partitionBy("key", "era", "_run").orderBy("_slice")))
+    per = per.select(*part, F.sum("n").over(before).alias("n0"), F.last("last.o", ignorenulls=True).over(before).alias("o0"), F.lag("_p").over(order).alias("p0"))
+    first = F.col("epoch") == 0  # the epoch of an earlier slice
+    joined = own.join(per, list(part)).withColumn("o", F.when(first, F.col("o0")).otherwise(F.col("o")))
+    joined = joined.withColumn("p", F.when(first, F.least("p0", "p")).otherwise(F.col("p")))
+    return joined.withColumn("epoch", F.col("epoch") + F.coalesce("n0", F.lit(0))).drop("_slice", "n0", "o0", "p0")
+
+
 def with_epochs(ops: DataFrame) -> DataFrame:
     """Adds to each keyed row its era and epoch and that epoch's opening (open_op, open_seq, open_now, open_value, dl, fp).
 
-    dl is the deadline of a SETEX, fp the time of the first PERSIST of the epoch at or before the row.
+    dl is the deadline of a SETEX, fp the time of the first PERSIST of the epoch at or before the row, fp_seq its seq.
+    Keys with more than SLICE rows are worked on in slices.
     """
-    order = Window.partitionBy("key", "era").orderBy("seq")
-    rows = keyed(ops).withColumn("epoch", F.sum(F.col("op").isin(*RESETS).cast("long")).over(order))
-    within = Window.partitionBy("key", "era", "epoch").orderBy("seq")
-    opening = F.first(F.struct("op", "seq", "value", "now_ms", "ttl_ms")).over(within)
-    rows = rows.withColumn("o", opening).withColumn("fp", F.min(F.when(F.col("op") == "PERSIST", F.col("now_ms"))).over(within))
-    is_open = (F.col("epoch") > 0) & F.col("o.op").isin(*RESETS)
+    rows = keyed(ops)
+    hot = ops.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).where("key IS NOT NULL").select("key")
+    if n_hot := hot.count():
+        hot = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
+        cold = _opened(rows.join(hot, "key", "left_anti"), "key", "era")
+        rows = cold.unionByName(_opened_in_slices(rows.join(hot, "key", "left_semi")))
+    else:
+        rows = _opened(rows, "key", "era")
     return rows.select(
-        "seq", "now_ms", "op", "key", "value", "era", "epoch", "fp",
-        F.when(is_open, F.col("o.op")).alias("open_op"),
-        F.when(is_open, F.col("o.seq")).alias("open_seq"),
-        F.when(is_open, F.col("o.now_ms")).alias("open_now"),
-        F.when(is_open, F.col("o.value")).alias("open_value"),
+        "seq", "now_ms", "op", "key", "value", "era", "epoch", F.col("p.now_ms").alias("fp"), F.col("p.seq").alias("fp_seq"),
+        F.col("o.op").alias("open_op"),
+        F.col("o.seq").alias("open_seq"),
+        F.col("o.now_ms").alias("open_now"),
+        F.col("o.value").alias("open_value"),
         F.when(F.col("o.op") == "SETEX", F.col("o.now_ms") + F.col("o.ttl_ms")).alias("dl"),
     )
 
@@ -176,9 +207,7 @@ def read_log(ops: DataFrame, op: str) -> DataFrame:
 def persist_log(ops: DataFrame) -> DataFrame:
     """(seq, key, result): 1 only for the PERSIST that takes the deadline of a live entry."""
     rows = with_epochs(ops)
-    order = Window.partitionBy("key", "era", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.max(F.when(F.col("op") == "PERSIST", 1)).over(order)
-    result = (F.col("open_op") == "SETEX") & (F.col("now_ms") < F.col("dl")) & earlier.isNull()
+    result = (F.col("open_op") == "SETEX") & (F.col("now_ms") < F.col("dl")) & (F.col("fp_seq") == F.col("seq"))
     return rows.withColumn("r", F.coalesce(result, F.lit(False)).cast("long")).where("op = 'PERSIST'").select("seq", "key", F.col("r").alias("result"))
 
 
@@ -211,8 +240,8 @@ def lives(ops: DataFrame) -> DataFrame:
     per = rows.where(F.col("epoch") > 0).groupBy("key", "era", "epoch").agg(
         F.max_by(F.struct("open_op", "open_seq", "open_now", "dl", "fp"), "seq").alias("e")
     )
-    following = F.lead(F.struct("e.open_now", "e.open_seq")).over(Window.partitionBy("key", "era").orderBy("epoch"))
-    per = per.withColumn("next", following).select("key", "era", "e.*", F.col("next.open_now").alias("n_now"), F.col("next.open_seq").alias("n_seq"))
+    following = per.select("key", "era", (F.col("epoch") - 1).alias("epoch"), F.col("e.open_now").alias("n_now"), F.col("e.open_seq").alias("n_seq"))
+    per = per.join(following, ["key", "era", "epoch"], "left").select("key", "era", "e.*", "n_now", "n_seq")
     clears = ops.where("op = 'CLEAR'").select("seq", "now_ms")
     # the CLEAR that ends an era: a row for each CLEAR
     first = clears.agg(F.min(F.struct("seq", "now_ms")).alias("n")).select(F.lit(-1).cast("long").alias("era"), "n")

@@ -12,6 +12,8 @@ from ..functions import ids
 from ..operators import blocks as B
 from ..operators import cluster as C
 from ..operators import kv
+from ..session import scratch_folder
+from ..sources.block_store import BlockStore, FileStore
 from .registry import query, table
 
 DAY_MS = 86_400_000
@@ -358,3 +360,73 @@ def register_nodes(spark, d):
     )
     done = C.register(nodes, F.timestamp_seconds(F.lit(5)))
     return done.select("id", F.unix_micros("last_seen").alias("last_seen_us"), "state")
+
+
+@query("""SELECT 'node-' || s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN 'dead' ELSE 'alive' END AS state FROM supplier
+WHERE s_suppkey % 5 <> 0 AND s_suppkey <= 50""")
+def registry_changes(spark, d):
+    """Of all nodes every fifth is taken out, one is set to dead, then the first fifty ids are asked for."""
+    n = F.col("s_suppkey")
+    name = F.concat(F.lit("node-"), n.cast("string")).alias("id")
+    suppliers = table(spark, d, "supplier")
+    nodes = suppliers.select(name, F.lit("alive").alias("state"))
+    left = C.unregister(nodes, suppliers.where(n % 5 == 0).select(name))
+    changed = C.update_state(C.update_state(left, "node-3", "dead"), "no such node", "dead")
+    return C.get_nodes(changed, suppliers.where(n <= 50).select(name))
+
+
+@query("SELECT doc_id, '/' || source || '/' || doc_id AS path, '/files/' || source || '/' || doc_id AS url FROM documents")
+def file_urls(spark, d):
+    url = F.concat_ws("/", F.lit("/files"), "source", F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", ids.path_from_url(url).alias("path"), ids.url_from_path(ids.path_from_url(url)).alias("url"))
+
+
+# Blocks of 700 bytes: the nodes' free bytes (1000 at most) let long files fail and short ones pass.
+FILE_BLOCK, COPIES = 700, 3
+PUT = f"""{BEATS}, best AS (SELECT id, addr, capacity - used AS free, row_number() OVER (ORDER BY capacity - used DESC, id) AS ord FROM health WHERE state = 'alive'),
+docs AS (SELECT source || '/' || doc_id AS path, coalesce(octet_length(encode(text)), 0) AS size, hex(encode(text)) AS h FROM documents),
+fits AS (SELECT path, size, h, (SELECT count(*) FROM best WHERE ord <= {COPIES} AND free >= least(size, {FILE_BLOCK})) AS n FROM docs),
+put AS (SELECT path, size, h, CASE WHEN size = 0 OR n = {COPIES} THEN 'ok' WHEN n = 0 THEN 'no_alive_nodes' ELSE 'not_enough_nodes' END AS status FROM fits),
+cut AS (SELECT path, unnest(range(CAST(ceil(size / {FILE_BLOCK}.0) AS BIGINT))) AS idx, h FROM put WHERE status = 'ok'),
+raw AS (SELECT path, idx, from_hex(substring(h, CAST(idx * {2 * FILE_BLOCK} + 1 AS BIGINT), {2 * FILE_BLOCK})) AS data FROM cut),
+blocks AS (SELECT path, idx, printf('block-%06d-%s', idx, substring(sha256(data), 1, 16)) AS id, sha256(data) AS checksum, octet_length(data) AS size FROM raw)"""
+
+
+def put_documents(spark, d):
+    store = FileStore(spark, scratch_folder(spark, "files"))
+    return store, store.put(files(spark, d), healthy(spark, d), COPIES, FILE_BLOCK)
+
+
+@query(f"WITH {PUT} SELECT path, status FROM put")
+def put_files(spark, d):
+    """Split, place, write and commit: what became of each file."""
+    return put_documents(spark, d)[1]
+
+
+@query(f"""WITH {PUT}, names AS (SELECT string_agg(id || '=' || addr, ',' ORDER BY ord) AS nodes FROM best WHERE ord <= {COPIES}),
+listed AS (SELECT path, string_agg(id || '@' || nodes, ';' ORDER BY idx) AS blocks FROM blocks, names GROUP BY 1)
+SELECT path, CAST(size AS BIGINT) AS size, coalesce(blocks, '') AS blocks FROM put LEFT JOIN listed USING (path) WHERE status = 'ok' AND path NOT LIKE '%7'""")
+def stored_files(spark, d):
+    """The metadata of what was put, without the files that were deleted since."""
+    store, _ = put_documents(spark, d)
+    store.delete(files(spark, d).where("path LIKE '%7'"))
+    nodes = lambda b: F.array_join(F.transform(b["nodes"], lambda n: F.concat_ws("=", n["node_id"], n["addr"])), ",")
+    return store.stat().select("path", "size", F.array_join(F.transform("blocks", lambda b: F.concat_ws("@", b["id"], nodes(b))), ";").alias("blocks"))
+
+
+@query(f"WITH {PUT} SELECT path, md5(text) AS digest FROM put JOIN documents ON path = source || '/' || doc_id WHERE status = 'ok' AND size > 0")
+def read_files(spark, d):
+    """The bytes of what was put."""
+    return put_documents(spark, d)[0].read().select("path", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {HEX}, once AS (SELECT DISTINCT id, b FROM blocks JOIN raw USING (path, idx)), kept AS (SELECT id, CASE WHEN id LIKE '%0' THEN 'new' || id ELSE decode(from_hex('')) END AS n, b FROM once WHERE id NOT LIKE '%1' OR id LIKE 'block-000000%')
+SELECT id, CASE WHEN id LIKE '%0' THEN octet_length(encode(n)) ELSE length(b) // 2 END AS size, CASE WHEN id LIKE '%0' THEN sha256(n) ELSE sha256(from_hex(b)) END AS checksum FROM kept""")
+def block_store(spark, d):
+    """Puts, a put over blocks ending in 0, a deletion of those ending in 1 (and of one that isn't there), and a put of some again."""
+    store, found = BlockStore(spark, scratch_folder(spark, "blocks")), split(spark, d).select("id", "data")
+    store.put(found)
+    store.put(found.where("id LIKE '%0'").select("id", F.concat(F.lit("new"), "id").cast("binary").alias("data")))
+    store.delete(found.where("id LIKE '%1'").select("id").unionByName(spark.createDataFrame([("none",)], "id string")))
+    store.put(found.where("id LIKE 'block-000000%1'"))
+    return store.stat()

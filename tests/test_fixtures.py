@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import codec, ids, text
 from lodestone.operators import blocks, cluster, index, kv, search
-from lodestone.sources import files, segments
+from lodestone.sources import block_store, files, segments
 from lodestone.sources.segments import SegmentStore, should_merge
 from lodestone.streaming import kv as kv_stream
 
@@ -234,3 +234,63 @@ def test_placement_and_health(spark):
     seen = spark.createDataFrame([("a", 95), ("b", 85), ("c", 10), ("d", None)], "id string, t long").select("id", F.timestamp_seconds("t").alias("last_seen"), F.lit("dead").alias("state"))
     got = {r.id: r.state for r in cluster.evaluate_health(seen, F.timestamp_seconds(F.lit(100)), 15, 90).collect()}
     assert got == {"a": "alive", "b": "suspect", "c": "dead", "d": "unknown"}
+
+
+def test_block_store(spark, tmp_path):
+    store = block_store.BlockStore(spark, str(tmp_path / "b"), capacity=100)
+    frame = lambda *rows: spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in rows], "id string, data binary")
+    assert store.read().count() == 0 and not store.exists("a") and store.usage().first().used == 0
+    store.put(frame(("a", b"hello"), ("b", b"x"), ("b", b"x"), ("e", b"")))
+    store.put(frame(("a", b"again!")))
+    store.delete(frame(("b", None), ("missing", None)))
+    assert store.get("a") == b"again!" and store.get("e") == b"" and not store.exists("b") and not store.exists("")
+    with pytest.raises(FileNotFoundError):
+        store.get("b")
+    with pytest.raises(ValueError):
+        store.get("")
+    for bad in (("", b"x"), (None, b"x"), ("c", None)):
+        with pytest.raises(Exception):
+            store.put(frame(bad, ("z", b"z")))
+    assert not store.exists("z")
+    row = store.usage().first()
+    assert (row.capacity, row.used, row.blocks) == (100, 6, 2)
+    store.put(frame(("b", b"back")))
+    before = sorted((r.id, r.size, r.checksum) for r in store.stat().collect())
+    store.compact()
+    assert sorted((r.id, r.size, r.checksum) for r in store.stat().collect()) == before and [x[0] for x in before] == ["a", "b", "e"]
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == ["gone", "put"] and len(list((tmp_path / "b" / "put").glob("v=*"))) == 1
+
+
+def test_file_store(spark, tmp_path):
+    import io
+
+    store = block_store.FileStore(spark, str(tmp_path / "f"))
+    nodes = spark.createDataFrame([("n1", "h1", 100, 92, "alive"), ("n2", "h2", 100, 0, "alive"), ("n3", "h3", 100, 0, "dead"), ("n4", "h4", 100, 90, "alive")], "id string, addr string, capacity long, used long, state string")
+    frame = lambda rows: spark.createDataFrame([(p, None if x is None else bytearray(x)) for p, x in rows], "path string, content binary")
+    put = lambda rows, n=2, r=2, size=5: {x.path: x.status for x in store.put(frame(rows), nodes if n else nodes.limit(0), r, size).collect()}
+    assert put([("/a", b"hello-world"), ("/e", b""), ("/n", None), ("", b"x")]) == {"/a": "ok", "/e": "ok", "/n": "ok", "": "empty_path"}
+    assert put([("/x", b"0123456789abc")], size=11) == {"/x": "not_enough_nodes"} and put([("/x", b"y")], n=0) == {"/x": "no_alive_nodes"}
+    assert put([("/x", b"y")], r=0) == {"/x": "not_enough_nodes"} and put([("/x", b"y")], r=4) == {"/x": "not_enough_nodes"}
+    got = {r.path: r for r in store.stat().collect()}
+    assert sorted(got) == ["/a", "/e", "/n"] and got["/a"].size == 11 and got["/e"].blocks == []
+    assert [[n.node_id for n in b.nodes] for b in got["/a"].blocks] == [["n2", "n4"]] * 3
+    out = io.BytesIO()
+    assert store.get("/a", out) == 11 and out.getvalue() == b"hello-world" and store.get("/e", io.BytesIO()) == 0
+    assert put([("/a", b"hello")]) == {"/a": "ok"}
+    assert {r.path: bytes(r.content) for r in store.read().collect()} == {"/a": b"hello"}
+    assert sorted(r.size for r in store.orphans().collect()) == [1, 5]
+    store.delete(spark.createDataFrame([("/a",), ("/none",)], "path string"))
+    assert sorted(r.path for r in store.stat().collect()) == ["/e", "/n"] and store.orphans().count() == 3
+    with pytest.raises(FileNotFoundError):
+        store.get("/a", io.BytesIO())
+
+
+def test_registry_and_urls(spark):
+    nodes = spark.createDataFrame([("a", "alive"), ("b", "alive")], "id string, state string")
+    assert {r.id: r.state for r in cluster.update_state(nodes, "b", "dead").collect()} == {"a": "alive", "b": "dead"}
+    with pytest.raises(ValueError):
+        cluster.update_state(nodes, "b", "gone")
+    asked = spark.createDataFrame([("b",), ("b",), ("c",)], "id string")
+    assert [r.id for r in cluster.get_nodes(nodes, asked).collect()] == ["b"] and [r.id for r in cluster.unregister(nodes, asked).collect()] == ["a"]
+    urls = spark.createDataFrame([("/files/x/y",), ("/files/",), ("/other",)], "u string")
+    assert [r.p for r in urls.select(ids.path_from_url(F.col("u")).alias("p")).collect()] == ["/x/y", None, "//other"]
