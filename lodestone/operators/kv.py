@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 RESETS = ("SET", "SETEX", "DEL")
 READS = ("GET", "EXISTS", "TTL", "PERSIST")
 GLOBAL_READS = ("KEYS", "DBSIZE")
@@ -197,26 +199,31 @@ def expired_count(ops: DataFrame, now: Column) -> DataFrame:
     return final_epochs(ops).agg(F.count_if(F.col("open_op").isin("SET", "SETEX") & ~is_live(now)).alias("removed"))
 
 
-def read_log(ops: DataFrame, op: str) -> DataFrame:
+def _rows(ops: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """rows, which is with_epochs(ops) where the caller has it already."""
+    return with_epochs(ops) if rows is None else rows
+
+
+def read_log(ops: DataFrame, op: str, rows: DataFrame | None = None) -> DataFrame:
     """(seq, key, live, value, ttl) as each row of one kind of read saw them."""
-    rows = with_epochs(ops).where(F.col("op") == op)
+    rows = _rows(ops, rows).where(F.col("op") == op)
     now = F.col("now_ms")
     return rows.select("seq", "key", is_live(now).alias("live"), F.when(is_live(now), F.col("open_value")).alias("value"), ttl(now).alias("ttl"))
 
 
-def persist_log(ops: DataFrame) -> DataFrame:
+def persist_log(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(seq, key, result): 1 only for the PERSIST that takes the deadline of a live entry."""
-    rows = with_epochs(ops)
+    rows = _rows(ops, rows)
     result = (F.col("open_op") == "SETEX") & (F.col("now_ms") < F.col("dl")) & (F.col("fp_seq") == F.col("seq"))
     return rows.withColumn("r", F.coalesce(result, F.lit(False)).cast("long")).where("op = 'PERSIST'").select("seq", "key", F.col("r").alias("result"))
 
 
-def del_log(ops: DataFrame) -> DataFrame:
+def del_log(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(seq, key, result): 1 if the key held an entry, expired or not, that no command had evicted yet.
 
     An expired entry is evicted by the next read of its key or by the next global read.
     """
-    rows = with_epochs(ops)
+    rows = _rows(ops, rows)
     last_read = F.max_by(F.when(F.col("op").isin(*READS), F.col("now_ms")), F.when(F.col("op").isin(*READS), F.col("seq")))
     spans = rows.groupBy("key", "era", "epoch").agg(
         F.max_by(F.struct("open_op", "open_seq", "dl", "fp"), "seq").alias("e"), last_read.alias("read_now")
@@ -231,12 +238,12 @@ def del_log(ops: DataFrame) -> DataFrame:
     return joined.select("seq", "key", (held & ~F.coalesce(gone, F.lit(False))).cast("long").alias("result"))
 
 
-def lives(ops: DataFrame) -> DataFrame:
+def lives(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(key, from_now, from_seq, to_now, to_seq): when entries are live, in the order of (time, seq); to_* null: to the end.
 
     An entry ends with the key's next reset, the next CLEAR, or at its deadline: seq -1 there, before all commands.
     """
-    rows = with_epochs(ops)
+    rows = _rows(ops, rows)
     per = rows.where(F.col("epoch") > 0).groupBy("key", "era", "epoch").agg(
         F.max_by(F.struct("open_op", "open_seq", "open_now", "dl", "fp"), "seq").alias("e")
     )
@@ -271,9 +278,9 @@ def running(events: DataFrame) -> DataFrame:
     return placed.withColumn("_in", inside).join(spans, "_span").withColumn("before", (F.col("_in") + F.col("_before")).cast("long")).drop("_span", "_in", "_before")
 
 
-def dbsize_log(ops: DataFrame) -> DataFrame:
+def dbsize_log(ops: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(seq, live): what each DBSIZE saw. Entries that begin and end are summed; no command meets the keys."""
-    spans, one = lives(ops), lambda x: F.lit(x).cast("long")
+    spans, one = lives(ops) if spans is None else spans, lambda x: F.lit(x).cast("long")
     nothing = F.lit(None).cast("long").alias("ask")
     events = spans.select(F.col("from_now").alias("now"), F.col("from_seq").alias("seq"), one(1).alias("delta"), nothing)
     ends = spans.where("to_now IS NOT NULL").select(F.col("to_now").alias("now"), F.col("to_seq").alias("seq"), one(-1).alias("delta"), nothing)
@@ -281,12 +288,12 @@ def dbsize_log(ops: DataFrame) -> DataFrame:
     return running(events.unionByName(ends).unionByName(asks)).where("ask IS NOT NULL").select(F.col("ask").alias("seq"), F.col("before").alias("live"))
 
 
-def keys_log(ops: DataFrame) -> DataFrame:
+def keys_log(ops: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(seq, keys array): what each KEYS saw, sorted. By definition one value with all live keys for each command.
 
     KEYS commands are numbered; an entry is in those numbered after its begin and before its end.
     """
-    spans, one = lives(ops), lambda x: F.lit(x).cast("long")
+    spans, one = lives(ops) if spans is None else spans, lambda x: F.lit(x).cast("long")
     asks = ops.where("op = 'KEYS'").select(F.col("now_ms").alias("now"), "seq", one(1).alias("delta"), F.lit("ask").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("other"))
     begins = spans.select(F.col("from_now").alias("now"), F.col("from_seq").alias("seq"), one(0).alias("delta"), F.lit("begin").alias("kind"), "key", F.col("from_seq").alias("other"))
     ends = spans.where("to_now IS NOT NULL").select(F.col("to_now").alias("now"), F.col("to_seq").alias("seq"), one(0).alias("delta"), F.lit("end").alias("kind"), "key", F.col("from_seq").alias("other"))
@@ -300,6 +307,13 @@ def keys_log(ops: DataFrame) -> DataFrame:
     return numbers.join(lists, "number", "left").select("seq", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder: several logs read them, by columns and kinds, and none computes them again."""
+    path = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def responses(ops: DataFrame) -> DataFrame:
     """(seq, response) of every command. Rows with an error, if ops has such a column, get an error reply and do nothing else."""
     out = None
@@ -309,9 +323,14 @@ def responses(ops: DataFrame) -> DataFrame:
     fine = ops.where(F.col("op").isin("SET", "SETEX", "CLEAR")).select("seq", reply_ok().alias("response"))
     out = fine if out is None else out.unionByName(fine)
     out = out.unionByName(ops.where("op = 'PING'").select("seq", F.lit("+PONG\r\n").alias("response")))
+    rows, spans = _written(with_epochs(ops), "kv-rows"), None
+    if ops.where(F.col("op").isin(*GLOBAL_READS)).limit(1).count():
+        spans = _written(lives(ops, rows), "kv-lives")
     for op, reply in (("GET", reply_value(F.col("value"))), ("EXISTS", reply_int(F.col("live").cast("int"))), ("TTL", reply_int(F.col("ttl")))):
-        out = out.unionByName(read_log(ops, op).select("seq", reply.alias("response")))
-    for log in (persist_log(ops), del_log(ops)):
+        out = out.unionByName(read_log(ops, op, rows).select("seq", reply.alias("response")))
+    for log in (persist_log(ops, rows), del_log(ops, rows)):
         out = out.unionByName(log.select("seq", reply_int(F.col("result")).alias("response")))
-    out = out.unionByName(dbsize_log(ops).select("seq", reply_int(F.col("live")).alias("response")))
-    return out.unionByName(keys_log(ops).select("seq", reply_list(F.col("keys")).alias("response")))
+    if spans is None:
+        return out
+    out = out.unionByName(dbsize_log(ops, spans).select("seq", reply_int(F.col("live")).alias("response")))
+    return out.unionByName(keys_log(ops, spans).select("seq", reply_list(F.col("keys")).alias("response")))

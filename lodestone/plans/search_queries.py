@@ -371,8 +371,8 @@ def merged_bm25(spark, d):
     return _stored(spark, d, TERMS, "and", "bm25", merged=True).select("path", "score")
 
 
-@query(f"""WITH {META} SELECT CAST(sum(doc_count) AS BIGINT) AS docs, CAST(sum(posting_count) AS BIGINT) AS postings, CAST(sum(position_count) AS BIGINT) AS positions,
-(SELECT count(DISTINCT term) FROM postings) AS terms, round(sum(position_count) / sum(doc_count), 6) AS avg_doc_len FROM meta""")
+@query(f"""WITH {META} SELECT count(*) AS segments, CAST(sum(doc_count) AS BIGINT) AS docs, CAST(sum(term_count) AS BIGINT) AS terms, CAST(sum(posting_count) AS BIGINT) AS postings, CAST(sum(position_count) AS BIGINT) AS positions,
+round(sum(position_count) / sum(doc_count), 6) AS avg_doc_len FROM meta""")
 def store_stats(spark, d):
     return store(spark, d).stats().withColumn("avg_doc_len", F.round("avg_doc_len", 6))
 

@@ -381,8 +381,8 @@ def file_urls(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.path_from_url(url).alias("path"), ids.url_from_path(ids.path_from_url(url)).alias("url"))
 
 
-# Blocks of 700 bytes: the nodes' free bytes (1000 at most) let long files fail and short ones pass.
-FILE_BLOCK, COPIES = 700, 3
+# Blocks of 1200 bytes: nodes have 1000 free at most, so long files find no place.
+FILE_BLOCK, COPIES = 1200, 3
 PUT = f"""{BEATS}, best AS (SELECT id, addr, capacity - used AS free, row_number() OVER (ORDER BY capacity - used DESC, id) AS ord FROM health WHERE state = 'alive'),
 docs AS (SELECT source || '/' || doc_id AS path, coalesce(octet_length(encode(text)), 0) AS size, hex(encode(text)) AS h FROM documents),
 fits AS (SELECT path, size, h, (SELECT count(*) FROM best WHERE ord <= {COPIES} AND free >= least(size, {FILE_BLOCK})) AS n FROM docs),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -23,6 +24,19 @@ def get_session(app: str = "lodestone", cores: str | None = None, **conf: str) -
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A path for a query's own tables in the folder that the cluster shares; without one, as in tests, below /tmp."""
+    """A path for a query's own tables in the folder that the cluster shares, deleted when the driver's Python ends.
+
+    Without such a folder, as in tests, below /tmp.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file:///tmp/lodestone-checkpoints').rstrip('/')}/lodestone-{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = f"{(named or 'file:///tmp/lodestone-checkpoints').rstrip('/')}/lodestone-{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended; the folder stays for the cluster's own clean-up
+        pass

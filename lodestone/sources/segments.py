@@ -124,10 +124,10 @@ class SegmentStore:
         return found if k is None else top_k(found, k)
 
     def stats(self) -> DataFrame:
-        """One row: documents, terms (distinct over all segments), postings, positions and avg_doc_len."""
-        sums = self.read("segment_meta").agg(*[F.sum(f"{n}_count").alias(f"{n}s") for n in ("doc", "posting", "position")])
-        terms = self.read("terms").select("term").distinct().agg(F.count("*").alias("terms"))
-        return sums.crossJoin(terms).withColumn("avg_doc_len", F.col("positions") / F.nullif("docs", F.lit(0).cast("long")))  # one row each
+        """One row: segments, docs, terms (one in two segments counts twice), postings, positions and avg_doc_len."""
+        sums = [F.coalesce(F.sum(f"{n}_count"), F.lit(0).cast("long")).alias(f"{n}s") for n in ("doc", "term", "posting", "position")]
+        found = self.read("segment_meta").agg(F.count("*").alias("segments"), *sums)
+        return found.withColumn("avg_doc_len", F.when(F.col("docs") > 0, F.col("positions") / F.col("docs")).otherwise(0.0))
 
     def merge(self, keep_old: bool = False) -> str:
         """One new segment in place of all; of a single one its id; an empty store is an error.

@@ -106,7 +106,7 @@ def test_segments(spark, tmp_path):
     assert store.merge(keep_old=True) == "seg_000005"
     assert {mode: sorted((r.path, r.score) for r in store.search("rust two", mode, "tfidf").collect()) for mode in before} == before
     row = store.stats().first()
-    assert (row.docs, row.terms, row.postings, row.positions, row.avg_doc_len) == (4, 5, 7, 8, 2.0)
+    assert (row.segments, row.docs, row.terms, row.postings, row.positions, row.avg_doc_len) == (1, 4, 5, 7, 8, 2.0)
     assert spark.read.parquet(f"{store.root}/docs/segment_id={old[0]}").count() == 3
     store.vacuum()
     assert sorted(p.name for p in (tmp_path / "index" / "docs").iterdir()) == ["segment_id=seg_000005"]
