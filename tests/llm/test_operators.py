@@ -235,6 +235,37 @@ def test_passages_that_no_anchor_has(docs_of, copies):
     assert any(r.doc_id == copies - 1 and r.partner_id == copies - 2 for r in got)
 
 
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_near_passage_that_no_anchor_has(docs_of, monkeypatch, many):
+    """As above, but the last two differ in a word amid their 60, so no 50 words are equal; their key has over FEW windows."""
+    monkeypatch.setattr(substring_dedup, "MANY", many, raising=False)
+    rng = random.Random(43)
+    template, copies = [f"w{i}x" for i in range(200)], 80
+    texts = []
+    for i in range(copies):
+        text = list(template)
+        for at in range(0, 200, 10):
+            if i < copies - 2 or not 70 <= at < 130:
+                text[at + rng.randrange(10)] = f"e{i}x{at}"
+        text[100] = text[100] if i < copies - 1 else "changed"
+        texts.append(" ".join(text))
+    assert brute.passages(list(enumerate(texts)), 50) == set()
+    got = substring_dedup.repeated_passages(docs_of(texts)).collect()
+    assert any(r.doc_id == copies - 1 and r.partner_id == copies - 2 and r.similarity >= 0.8 for r in got)
+
+
+def test_dense_places_hold_all_similar_stretches():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = rng.integers(0, 60, int(rng.integers(1, 40)))
+        hit, t = np.isin(x, rng.integers(0, 60, 70)), int(rng.integers(1, 12))
+        marked = substring_dedup.dense(hit, substring_dedup._before(x) >= 0, t, 80)
+        for a in range(len(x)):
+            for b in range(a + t, len(x) + 1):
+                there = len(set(x[a:b][hit[a:b]].tolist()))
+                assert 100 * there < 80 * len(set(x[a:b].tolist())) or marked[a:b].all()
+
+
 def best_similarity(own, other):
     """The largest Jaccard similarity of the whole of own with any stretch of 46 shingles or more of the other text."""
     x, best = set(own.tolist()), 0
