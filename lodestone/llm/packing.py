@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import caches, small_batches, written
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths above capacity / LARGE_SHARE are grouped; GROUPS sizes enter the configuration program.
@@ -109,6 +109,9 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+caches.append(_tokenizer.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Token pieces of (doc_id, text): ids, the end id, cut every `capacity`. keep_ids adds ids array<int>.
 
@@ -119,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = _tokenizer(tokenizer).encode_all
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", kept=_tokenizer.cache_clear):
             rows: list[tuple] = []
             encoded = encode_all([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):

@@ -67,6 +67,19 @@ def test_pack_nothing_and_keep_ids(docs_of):
     assert row.ids[-1] == 1 and row.length == len(row.ids)
 
 
+def test_other_operators_free_the_words_that_packing_keeps():
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, batch = public_tokenizers.path("word_bpe_49k.json"), pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])
+    first = packing._tokenizer(path)
+    first.encode_all(["some words"])
+    list(common.small_batches(iter([batch]), "text", kept=packing._tokenizer.cache_clear))
+    assert packing._tokenizer(path) is first and first.ids  # packing's own next task finds them
+    list(common.small_batches(iter([batch]), "text"))
+    assert packing._tokenizer.cache_info().currsize == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_everything_once(seed):
     rng = np.random.default_rng(seed)
