@@ -522,6 +522,23 @@ def test_toxicity_learns_and_scores_all_texts(spark, docs_of):
     assert none[0].score == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, docs_of):
+    """Over shards, each in one file: languages are counted on the words of every row of the fold (w12x is two), in any partitions."""
+    rng = random.Random(8)
+    texts = [words(rng, 12) + (" nasty" if i % 4 == 0 else "") for i in range(600)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    rows, _, shards = toxicity.labelled(docs_of(texts), lab, 100, 10**9)
+    fold = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r.doc_id for r in rows.collect()) == fold and shards == -(-len(fold) // 100)
+    files = rows.groupBy(F.input_file_name(), "shard").count().groupBy("shard").count().collect()
+    assert all(r["count"] == 1 for r in files)  # no shard in two files
+    one, two = (toxicity.fit(docs_of(texts).repartition(n), lab, 100, 10**9) for n in (3, 7))
+    assert np.array_equal(one.table, two.table) and np.array_equal(one.thresholds, two.thresholds)
+    assert np.isclose(np.exp(one.evidence[1:]).min(), 0.5 / (24 * len(fold) + sum(i % 4 == 0 for i in fold) + toxicity.BUCKETS / 2))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(texts), one).collect()}
+    assert np.mean([got[i] == (i % 4 == 0) for i in range(600) if i not in fold]) > 0.9
+
+
 def plain_score(model, ids):
     """One text through embedding, filters, maxima, output and threshold, word by word."""
     edge, forms = max(toxicity.WIDTHS) - 1, len(toxicity.FORMS)
