@@ -20,14 +20,13 @@ any other rows; an empty table gives no rows. Columns of the input other than th
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,69 +35,127 @@ from .common import caches, small_batches, written
 CAPACITY, END_ID = 4096, 1
 #: Lengths above capacity / LARGE_SHARE are grouped; GROUPS sizes enter the configuration program.
 LARGE_SHARE, GROUPS = 4, 160
-#: Words kept in a worker's memory with their ids, and the longest of them.
+#: Words kept in a worker's memory with their ids (about 35 bytes each), and the longest of them.
 CACHED_WORDS, CACHED_CHARS = 600_000, 48
+#: Bytes of text that are tokenized at once.
+BATCH_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Bytes with line ends and tabs as blanks, and with A-Z in lower case, too.
+_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _BLANKS)
+
+
 class WordTokenizer:
     """A tokenizer whose words don't depend on each other: ids are remembered by word.
 
     Holds for tokenizers that drop white space and case, and split letters from punctuation. Only blanks, tabs and
     line ends separate words here; what other white space separates goes to the tokenizer together. New words are
-    tokenized many at a time, joined by a mark whose ids end each word.
+    tokenized many at a time, joined by a mark whose ids end each word. Words and their ids are kept as Arrow arrays, and
+    only the different words of a batch are looked up, so neither memory nor time goes to an object for each word.
     """
 
     MARK = "\x01"
-    POINT = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+    #: Marks that are a piece of their own at the end of a word, behind letters and digits that stay as they are but for case.
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    STEM = "[0-9a-zÀ-ÖØ-öø-ÿ]"
+    ENDS = STEM + r"[!-/:-@\[-`{-~]+$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.inner, self.ids = Tokenizer.from_file(path), {}
+        self.inner = Tokenizer.from_file(path)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
         self.mark = np.array(self.inner.encode(self.MARK, add_special_tokens=False).ids, dtype="<u4")
         self.special = sorted(t.content for t in self.inner.get_added_tokens_decoder().values())
 
-    def words(self, text: str) -> list[str]:
-        if not any(s in text for s in self.special) and "<|" not in text:  # case matters in special tokens
-            text = self.POINT.sub(r" \1", text.encode().lower().decode())
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        known = self.ids
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        lists, new = [self.words(t) for t in texts], set()
-        for words in lists:
-            new.update(filterfalse(known.__contains__, words))
-        extra = self._learn(list(new))
-        if not extra:
-            return [b"".join(map(known.__getitem__, words)) for words in lists]
-        return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in lists]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Remember the ids of words; gives those of words that are too long to keep."""
-        extra: dict[str, bytes] = {}
-        plain = [w for w in new if len(w) <= CACHED_CHARS and self.MARK not in w and "<|" not in w]
-        odd = [w for w in new if not (len(w) <= CACHED_CHARS and self.MARK not in w and "<|" not in w)]
-        between = f" {self.MARK} "
+        cased = [any(s in t for s in self.special) or "<|" in t for t in texts]  # case matters in special tokens
+        out: list[bytes] = [b""] * len(texts)
+        for kind in (False, True):
+            own = [i for i, c in enumerate(cased) if c == kind]
+            for i, ids in zip(own, self._encode([texts[i] for i in own], kind)):
+                out[i] = ids
+        return out
+
+    def _encode(self, texts: list[str], cased: bool) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        joined = b"".join(raw).translate(_BLANKS if cased else _LOWER)
+        raw = None
+        if not joined:
+            return [b""] * len(texts)
+        # each word with the blank behind it, if there is one
+        cut = np.append(True, np.frombuffer(joined, np.uint8) == 32)
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        cut = None
+        kind, width = (pa.string(), np.int32) if len(joined) < 1 << 31 else (pa.large_string(), np.int64)
+        coded = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(joined)]).dictionary_encode()
+        sizes, flat = self._ids_of(coded.dictionary.cast(pa.string()), cased)
+        first = np.cumsum(sizes) - sizes
+        code = np.asarray(coded.indices)
+        own = sizes[code]
+        after = np.append(0, np.cumsum(own))
+        spots = np.repeat((first[code] - after[:-1]).astype(width), own)
+        spots += np.arange(after[-1], dtype=width)
+        out = flat[spots].tobytes()
+        bounds = [0, *(4 * after[np.searchsorted(at, ends)]).tolist()]
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _ids_of(self, found: pa.Array, cased: bool) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, which may end with a blank, and all their ids."""
+        parts = [pc.utf8_rtrim(found, " ")]
+        if not cased:  # a word and the marks at its end apart: fewer words to keep
+            apart = pc.match_substring_regex(parts[0], self.ENDS)
+            stem = pc.if_else(apart, pc.utf8_rtrim(parts[0], self.MARKS), parts[0])
+            tails = pc.if_else(apart, pc.replace_substring_regex(parts[0], f"^.*{self.STEM}", ""), "")
+            parts = [stem, tails]
+        ids = [self._known(p) for p in parts]
+        whole = ids[0] if cased else pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.binary()))
+        edge = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1] // 4
+        return np.diff(edge).astype(np.int64), np.frombuffer(whole.buffers()[2] or b"", "<u4")[edge[0] :]
+
+    def _known(self, found: pa.Array) -> pa.Array:
+        """The ids of words, which are learned where they aren't kept."""
+        at = pc.index_in(found, value_set=self.words)
+        if len(self.words) > CACHED_WORDS:  # those that this batch has, too, are kept
+            kept = pc.unique(at.drop_null())
+            self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+            at = pc.index_in(found, value_set=self.words)
+        if not at.null_count:
+            return self.ids.take(at)
+        words, ids = self._learn(pc.unique(found.filter(pc.is_null(at))))
+        at = pc.coalesce(at, pc.add(pc.index_in(found, value_set=words), len(self.words)))
+        out = pa.concat_arrays([self.ids, ids]).take(at)
+        short = pc.less_equal(pc.utf8_length(words), CACHED_CHARS)
+        self.words, self.ids = pa.concat_arrays([self.words, words.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+        return out
+
+    def _learn(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words, in another order perhaps, and their ids."""
+        marked = pc.or_(pc.match_substring(new, self.MARK), pc.match_substring(new, "<|"))
+        odd = pc.or_(marked, pc.greater(pc.utf8_length(new), CACHED_CHARS))
+        plain, single = new.filter(pc.invert(odd)), new.filter(odd).to_pylist()
+        between, words, found = f" {self.MARK} ", [], []
         for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
-            lines = [between.join(part[i : i + 64]) + between for i in range(0, len(part), 64)]
+            part = plain.slice(at, 8192)
+            own = part.to_pylist()
+            lines = [between.join(own[i : i + 64]) + between for i in range(0, len(own), 64)]
             ids = np.concatenate([np.array(x.ids, "<u4") for x in self.inner.encode_batch(lines, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
             if len(ends) != len(part):  # the mark is no id of its own
-                odd += part
+                single += own
                 continue
-            raw, first = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                self.ids[word] = raw[4 * first : 4 * end]
-                first = end + 1
-        for word in odd:
-            found = np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            (self.ids if len(word) <= CACHED_CHARS else extra)[word] = found
-        return extra
+            edge = np.append(0, 4 * (ends - np.arange(len(ends)))).astype(np.int32)
+            raw = pa.py_buffer(ids[ids != self.mark[0]].tobytes())
+            words.append(part)
+            found.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edge), raw]))
+        words.append(pa.array(single, pa.string()))
+        found.append(pa.array([np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in single], pa.binary()))
+        return pa.concat_arrays(words), pa.concat_arrays(found)
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = _tokenizer(tokenizer).encode_all
-        for batch in small_batches(batches, "text", kept=_tokenizer.cache_clear):
+        for batch in small_batches(batches, "text", BATCH_BYTES, _tokenizer.cache_clear):
             rows: list[tuple] = []
             encoded = encode_all([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):

@@ -80,6 +80,30 @@ def test_other_operators_free_the_words_that_packing_keeps():
     assert packing._tokenizer.cache_info().currsize == 0
 
 
+def test_words_are_kept_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000)) for _ in range(60)]
+    tokenizer = packing.WordTokenizer(queries.tokenizer_path())
+    tokenizer.encode_all(["a b"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    tokenizer.encode_all(texts)
+    taken = pa.total_allocated_bytes() - before + tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(tokenizer.ids) > 59_000 and taken < 80 * 60_000
+    # words that are left out later don't matter
+    monkeypatch.setattr(packing, "CACHED_WORDS", 500)
+    texts = [*texts[:5], "İ, Ça. ça,. É### x'' 12, İ\u0307. \u0958, \u00a0, n\u0303. =\u0338 don't' A<|endoftext|>, ..", "x" * 60 + "! " + "é" * 60, "", *texts[:2]]
+    for text in [*texts, *texts]:
+        want = tokenizer.inner.encode(text, add_special_tokens=False).ids
+        assert tokenizer.encode_all([text, ""]) == [np.array(want, "<u4").tobytes(), b""]
+        assert len(tokenizer.ids) < 2600
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_everything_once(seed):
     rng = np.random.default_rng(seed)
