@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,8 +270,15 @@ def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, shard_rows: int, shard_bytes: int) -> tuple[DataFrame, list, int]:
-    """((shard, doc_id, toxic, apart, lang, text), counts by label, shards): all labelled rows of the training fold, a shard in one file."""
-    known = labels.where(in_training_fold() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), "toxic")
+    """((shard, doc_id, toxic, apart, lang, w), counts by label, shards): all labelled rows of the training fold, a shard in one file.
+
+    w are the words' hashed forms. Texts are shuffled once, with the labels of their shard.
+    """
+    known = labels.where(in_training_fold() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("b")).join(known, "doc_id")
+    counts = sizes.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()
+    shards = max(1, -(-sum(r["n"] for r in counts) // shard_rows), -(-sum(r["b"] or 0 for r in counts) // shard_bytes))
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(known.select("doc_id")))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +286,14 @@ def labelled(docs: DataFrame, labels: DataFrame, shard_rows: int, shard_bytes: i
             yield batch.filter(pa.array(passes(bitmap.value, np.asarray(batch.column(0).fill_null(0)))))
 
     # only texts that have a label, but for a few, are shuffled
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(some, "doc_id long, text string, lang string")
-    rows = written(texts.join(known, "doc_id"), "labelled")
-    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
-    shards = max(1, -(-sum(r["n"] for r in counts) // shard_rows), -(-sum(r["b"] or 0 for r in counts) // shard_bytes))
+    texts = docs.mapInArrow(some, "doc_id long, text string, lang string").where("doc_id IS NOT NULL")
+    rows = texts.withColumn("is_text", F.lit(True)).unionByName(known.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
     shard, apart = F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
-    rows = rows.select(shard.alias("shard"), "doc_id", F.col("toxic").cast("int").alias("toxic"), apart.alias("apart"), "lang", "text")
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "toxic", "lang", "text")
-    return written(rows, "shards"), counts, shards
+    rows = rows.withColumn("shard", shard).repartition(shards, "shard")
+    given = F.collect_list("toxic").over(Window.partitionBy("shard", "doc_id"))  # labels of one document
+    rows = rows.withColumn("given", given).where("is_text").select("shard", "doc_id", F.explode("given").alias("toxic"), apart.alias("apart"), "lang", "text")
+    rows = rows.sortWithinPartitions("shard", "doc_id", "toxic", "lang", "text")
+    return written(rows.select("shard", "doc_id", "toxic", "apart", "lang", word_ids(F.col("text")).alias("w")), "shards"), counts, shards
 
 
 def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -300,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_
     weight = {y: 0.5 * sum(total.values()) / n for y, n in total.items()}
     net = _Net(np.random.default_rng(SEED))
     rounds, epochs = (1, EPOCHS) if shards == 1 else (ROUNDS, 1)
-    words = rows.select("shard", "toxic", "apart", "lang", word_ids(F.col("text")).alias("w"))
+    words = rows.select("shard", "toxic", "apart", "lang", "w")
     count_from = len(net.flat())  # rows from here on count the words of each language
     tally = np.zeros(-(-BUCKETS * max(1, len(languages)) // DIM) * DIM).reshape(-1, DIM)
     columns = [f"d{i}" for i in range(DIM)]

@@ -580,6 +580,24 @@ def plain_score(model, ids):
     return 1 / (1 + np.exp(-(z - model.thresholds[language])))
 
 
+def test_toxicity_shuffles_labelled_texts_once(spark, monkeypatch):
+    rows = [(i % 90 if i % 7 else None, f"a b{i} c", "en" if i % 2 else None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    given = [(i % 70, i % 3) for i in range(0, 140, 2)]
+    plans, write = [], toxicity.written
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(toxicity, "written", seen)
+    found, counts, shards = toxicity.labelled(docs, spark.createDataFrame(given, "doc_id long, toxic int"), 10, 10**6)
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1 and "Join" not in plans[0]
+    want = [(i, y, lang) for i, _, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 5 for j, y in given if j == i and y < 2]
+    assert shards > 1 and sorted(((r.doc_id, r.toxic, r.lang) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert sum(r["n"] for r in counts) == len(want) and all(len(r.w) == 9 for r in found.collect())
+
+
 def test_toxicity_equals_a_plain_network(docs_of, spark):
     rng = random.Random(12)
     texts = [words(rng, rng.randrange(5, 30)) + (" nasty" if i % 3 == 0 else "") for i in range(90)] + [None, "", "one", "ties ties ties"]
