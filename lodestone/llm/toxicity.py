@@ -41,7 +41,8 @@ SHARD_ROWS, SHARD_BYTES, ROUNDS = 5000, 8_000_000, 4
 UNIT, LOGIT_UNIT = 1 << 24, 1 << 10
 #: Rows of each label that a language needs for a threshold of its own.
 CALIBRATION_ROWS = 12
-#: Words scored at a time.
+#: Bytes of hashed words in a batch to score, and words scored at a time.
+SCORED_BYTES = 2 << 20
 CHUNK = 1 << 15
 PADDING = 0
 
@@ -393,16 +394,16 @@ def _cut(z: np.ndarray, bad: np.ndarray, n: np.ndarray) -> float:
     return float((low - values[k]) / 2 / LOGIT_UNIT)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted, from the text alone."""
-    fields = [f for f in docs.schema if f.name not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with score and predicted, from the text alone; only: the columns to pass through, all if None."""
+    fields = [f for f in docs.schema if f.name not in ("score", "predicted") and (only is None or f.name in only)]
     names = [f.name for f in fields]
     (listed,) = unused(names, "words")
     out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets, filters and languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, listed):
+        for batch in small_batches(batches, listed, SCORED_BYTES):
             words = batch.column(batch.schema.get_field_index(listed))
             offsets = np.asarray(words.offsets).astype(np.int64)
             ids = np.asarray(words.values)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.int64)

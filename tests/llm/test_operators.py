@@ -598,6 +598,13 @@ def test_toxicity_shuffles_labelled_texts_once(spark, monkeypatch):
     assert sum(r["n"] for r in counts) == len(want) and all(len(r.w) == 9 for r in found.collect())
 
 
+def test_toxicity_scores_without_passing_texts_on(docs_of):
+    docs, model = docs_of(["a b", None, ""]), toxicity.train([([], 1, None)])
+    found = toxicity.score(docs, model, ("doc_id",))
+    assert found.columns == ["doc_id", "score", "predicted"]
+    assert found.orderBy("doc_id").collect() == toxicity.score(docs, model).select(found.columns).orderBy("doc_id").collect()
+
+
 def test_toxicity_equals_a_plain_network(docs_of, spark):
     rng = random.Random(12)
     texts = [words(rng, rng.randrange(5, 30)) + (" nasty" if i % 3 == 0 else "") for i in range(90)] + [None, "", "one", "ties ties ties"]
