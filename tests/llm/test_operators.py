@@ -291,6 +291,40 @@ def test_near_passage_that_no_anchor_has(docs_of, monkeypatch, many):
     assert any(r.doc_id == copies - 1 and r.partner_id == copies - 2 and r.similarity >= 0.8 for r in got)
 
 
+def test_covered_stretches_equal_brute_force():
+    rng = np.random.default_rng(7)
+    for t, needed in ((1, 1), (3, 2), (5, 2), (4, 4)):
+        of = np.sort(rng.integers(0, 12, 60))
+        k, left = rng.integers(0, 5, 60).astype(np.int8), rng.integers(0, 30, 60).astype(np.int32)
+        right = (left + rng.integers(0, 12, 60)).astype(np.int32)
+        wanted = []
+        for group in range(12):
+            places = [len({f for o, f, a, b in zip(of, k, left, right) if o == group and a <= p <= b}) >= needed for p in range(50)]
+            first = [p for p in range(50) if places[p] and not (p and places[p - 1])]
+            wanted += [(group, a, b - 1) for a in first if (b := places.index(False, a)) - a >= t]
+        assert list(zip(*(x.tolist() for x in substring_dedup.covered(of, k, left, right, t, needed)))) == wanted
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in substring_dedup.covered(none, none, none, none, 3, 2)] == [0, 0, 0]
+
+
+def test_only_later_documents_are_compared_with_earlier_ones(spark):
+    """Of stretches in two documents the earlier one can be a partner only, the later one, where it has hot windows, a document only."""
+    rng = np.random.default_rng(8)
+    shared, line = rng.integers(0, 1 << 32, 60, dtype=np.uint32), rng.integers(0, 1 << 32, 20, dtype=np.uint32)
+    near = shared.copy()
+    near[[10, 40]] += np.uint32(1)
+    own = [rng.integers(0, 1 << 32, 60, dtype=np.uint32) for _ in range(4)]
+    texts = {1: [line, own[0]], 2: [own[1], shared], 5: [near, line, own[2]], 7: [line, shared], 9: [line, own[3]]}
+    good = [(i, 100, 99 + sum(map(len, x)), np.concatenate(x).tobytes()) for i, x in texts.items()]
+    good = spark.createDataFrame(good, "doc_id long, first int, last int, s binary")
+    windows = [(i, 1, 0, 100, 110, 300) for i in (1, 2, 5, 9)]  # 7 has none that isn't settled
+    hot = spark.createDataFrame(windows, "doc_id long, key long, k byte, l int, c int, r int")
+    found = {(r.doc_id, r.partner): (r.first, r.last) for r in substring_dedup.earlier(hot, good, 10, 46, 80).collect()}
+    assert set(found) == {(5, False), (2, True)}
+    for (i, partner), (a, b) in {(5, False): (100, 159), (2, True): (160, 219)}.items():
+        assert found[i, partner][0] <= a and found[i, partner][1] >= b
+
+
 def test_dense_places_hold_all_similar_stretches():
     rng = np.random.default_rng(5)
     for _ in range(200):
