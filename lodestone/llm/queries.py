@@ -6,7 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity, url_filter, warc
+from . import (
+    conversations, decontamination, language_id, line_dedup, minhash, packing, quality, substring_dedup, topk, toxicity, url_filter, vector_codes, warc,
+)
 from .common import in_training_fold, ship
 
 QUERIES: dict = {}
@@ -149,3 +151,61 @@ if corpus_pipeline.ORACLE_SQL:
 @query()
 def op4_substring_dedup(spark, d):
     return substring_dedup.repeated_passages(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _code_sql(rounds: int = 6) -> str:
+    """Every round spelled out: nearest entries of all parts, then the floor of their means."""
+    parts = """WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT rid, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM kept, range(8) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM part WHERE rid <= 16)"""
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts += f""",
+near{r} AS MATERIALIZED (SELECT rid, p, min(struct_pack(d := d, e := e)) AS m FROM (SELECT rid, part.p, e, CAST({far} AS BIGINT) AS d FROM part JOIN book{r} USING (p)) GROUP BY 1, 2)"""
+        if r < rounds:
+            parts += f""",
+mean{r} AS (SELECT p, e, list(f ORDER BY i) AS c FROM (SELECT p, m.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS f FROM near{r} JOIN part USING (rid, p), range(1, 9) AS t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN mean{r} USING (p, e))"""
+    return parts + f""",
+coded AS (SELECT rid, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM kept JOIN coded USING (rid)"""
+
+
+@query(_code_sql())
+def op11_vector_codes(spark, d):
+    coded, books = vector_codes.compress(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+    digits = F.array_join(F.transform("code", lambda i: F.lpad(F.lower(F.hex(i)), 2, "0")), "")
+    return coded.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+#: A fixed rule of five damages: by crc32(conv_id:turn) % 20, 0 drops a row, 1 empties it, 2 takes its ends of sentences, 3 repeats it, 4 makes it the user's.
+def damaged(turns: DataFrame) -> DataFrame:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    k = F.crc32(F.concat_ws(":", *parts).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(k == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = turns.where(k != 0).select("conv_id", "turn", F.when(k == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+@query()
+def op13_conversation_repair(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    reports, _ = conversations.repair(damaged(turns))
+    reports = reports.withColumnRenamed("conv_id", "own")
+    ids = turns.select("conv_id").distinct()
+    found = ids.join(reports, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256))
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+
+
+@query()
+def op12_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, d, "labels"))
+    scored = quality.score(docs, model)  # no other column than the text reaches the score
+    return scored.select("doc_id", (~in_training_fold()).alias("held_out"), "score", "predicted")
