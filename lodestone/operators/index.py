@@ -14,6 +14,8 @@ from ..functions.text import normalize, raw_tokens
 
 #: Rows of a piece of number_rows(), and the most pieces, whose splits are on the driver.
 PIECE_ROWS, MOST_PIECES = 1_000_000, 2_000
+#: Numbers of documents that a term's gaps are worked on together.
+RANGE_ROWS = 1 << 20
 
 
 def deal(docs: DataFrame) -> DataFrame:
@@ -90,12 +92,40 @@ def inspect_segments(meta: DataFrame) -> DataFrame:
     return rolled.select(total.alias("segment_id"), *names)
 
 
-def postings_size(postings: DataFrame) -> DataFrame:
+def _ranges(order_by: str, within: int) -> Column:
+    return F.floor(F.col(order_by) / within)
+
+
+def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: int) -> DataFrame:
+    """rows with before: over the rows of a segment's term that come earlier, the last value or the sum of values.
+
+    A term of all documents isn't one task's: rows are worked on in ranges of `within` numbers of order_by, and what a range leaves is
+    carried to the next ones over one row a range. order_by is unique within a term.
+    """
+    key = ["segment_id", "term"]
+    rows = rows.withColumn("_range", _ranges(order_by, within)).withColumn("_value", value)
+    inside = Window.partitionBy(*key, "_range").orderBy(order_by)
+    total = F.max_by("_value", order_by) if last else F.sum("_value")
+    per = rows.groupBy(*key, "_range").agg(total.alias("_total"))
+    ahead = Window.partitionBy(*key).orderBy("_range")
+    if last:
+        own, carried = F.lag("_value").over(inside), F.lag("_total").over(ahead)
+    else:
+        earlier = (Window.unboundedPreceding, -1)
+        own, carried = F.sum("_value").over(inside.rowsBetween(*earlier)), F.sum("_total").over(ahead.rowsBetween(*earlier))
+    per = per.select(*key, "_range", carried.alias("_carried"))
+    joined = rows.withColumn("_own", own).join(per, [*key, "_range"])
+    zero = F.lit(0).cast("long")
+    before = F.coalesce("_own", "_carried", zero) if last else F.coalesce("_own", zero) + F.coalesce("_carried", zero)
+    return joined.withColumn("before", before).drop("_range", "_value", "_own", "_carried")
+
+
+def postings_size(postings: DataFrame, within: int = RANGE_ROWS) -> DataFrame:
     """Bytes of each term's varint-coded posting list: gaps of ids, counts and gaps of positions."""
-    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(Window.partitionBy("segment_id", "term").orderBy("doc_id"))
+    rows = _before(postings, "doc_id", F.col("doc_id"), True, within)
     own = F.aggregate(gap_encode(F.col("positions")), F.lit(0).cast("long"), lambda a, x: a + varint_length(x))
-    size = varint_length(gap) + varint_length(F.size("positions").cast("long")) + own
-    sized = postings.withColumn("bytes", size).groupBy("segment_id", "term")
+    size = varint_length(F.col("doc_id") - F.col("before")) + varint_length(F.size("positions").cast("long")) + own
+    sized = rows.select("segment_id", "term", size.alias("bytes")).groupBy("segment_id", "term")
     return sized.agg((F.sum("bytes") + varint_length(F.count("*"))).alias("bytes"))
 
 
@@ -129,16 +159,16 @@ def _piece_of(value: Column, cuts: list[str], first: int) -> Column:
     return F.when(value < cuts[m], _piece_of(value, cuts[:m], first)).otherwise(_piece_of(value, cuts[m + 1 :], first + m + 1))
 
 
-def gap_rows(postings: DataFrame) -> DataFrame:
+def gap_rows(postings: DataFrame, within: int = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id, gap): gaps of the ids of a term, a row each, so that no list of a common term is built."""
-    order = Window.partitionBy("segment_id", "term").orderBy("doc_id")
-    return postings.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("gap"))
+    rows = _before(postings.select("segment_id", "term", "doc_id"), "doc_id", F.col("doc_id"), True, within)
+    return rows.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.col("before")).alias("gap"))
 
 
-def ungap_rows(gaps: DataFrame, order_by: str = "ord") -> DataFrame:
+def ungap_rows(gaps: DataFrame, order_by: str = "ord", within: int = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id) from gaps(segment_id, term, ord, gap): running sums, the inverse of gap_rows()."""
-    order = Window.partitionBy("segment_id", "term").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("segment_id", "term", F.sum("gap").over(order).alias("doc_id"))
+    rows = _before(gaps.select("segment_id", "term", order_by, "gap"), order_by, F.col("gap"), False, within)
+    return rows.select("segment_id", "term", (F.col("before") + F.col("gap")).alias("doc_id"))
 
 
 def incremental_new_docs(docs: DataFrame, indexed: DataFrame) -> DataFrame:

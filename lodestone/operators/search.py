@@ -7,6 +7,8 @@ Statistics are those of a segment; TF-IDF treats all segments as one snapshot.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,28 +79,106 @@ def _scored(matched: DataFrame, stats: DataFrame, by: list[str], terms: list[str
     return matched.withColumn("score", reduce(Column.__add__, parts))
 
 
-def search_index(docs: DataFrame, postings: DataFrame, terms: DataFrame, meta: DataFrame, query: str, mode: str = "and", scorer: str = "bm25") -> DataFrame:
-    """As search(), from a stored index: docs(segment_id, doc_id, path, doc_len), postings(segment_id, term, doc_id, tf,
-    positions), terms(segment_id, term, doc_freq), meta(segment_id, doc_count, position_count).
+@dataclass(frozen=True)
+class TermStats:
+    """A term in a segment: documents, the most occurrences in one, and the length of the shortest."""
 
-    Only postings of the query's terms are read, and without their positions unless the query is a phrase.
+    doc_freq: int
+    max_tf: int
+    min_len: int
+
+
+#: Ranges that a list of documents is told in, and bits of a filter of more.
+RANGES, FILTER_BITS = 64, 1 << 24
+
+
+def rarest(words: list[str], found: dict[str, TermStats]) -> str:
+    """The term with the fewest documents, of equal ones the first."""
+    return min(dict.fromkeys(words), key=lambda t: found[t].doc_freq)
+
+
+def listed(ids: list[int]) -> Column:
+    """A test for a list of doc_id: the list prunes buckets, its ranges prune pages of sorted files."""
+    ids = sorted(ids)
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    near = " OR ".join(f"doc_id BETWEEN {ids[a]} AND {ids[b - 1]}" for a, b in zip(cuts, cuts[1:]))
+    return F.expr(f"doc_id IN ({', '.join(map(str, ids))}) AND ({near})")
+
+
+def bloom(postings: DataFrame, term: str, doc_freq: int) -> Column:
+    """A test that every doc_id with the term passes, and few others: a Bloom filter of two hashes.
+
+    Of about 16 bits a document up to FILTER_BITS; a subquery of the search itself builds it.
     """
-    words = query_terms(docs.sparkSession, query)
-    if not words:
-        return docs.sparkSession.createDataFrame([], RESULT)
-    own = term_lookup(postings, list(dict.fromkeys(words)))
+    words_of = min(FILTER_BITS, 1 << (16 * doc_freq - 1).bit_length()) // 64
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(words_of * 64)) for i in (1, 2)]
+    bits = postings.where(F.col("term") == term).select(F.explode(F.array(*places)).alias("at"))
+    bits = bits.select((F.col("at") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit"))
+    zeros = postings.sparkSession.range(words_of).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+    by_word = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).unionByName(zeros).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    one = by_word.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda x: x["bit"]).alias("bits"))
+    filled = one.scalar()  # one row of words_of numbers
+    return reduce(Column.__and__, [F.getbit(F.get(filled, (at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in places])
+
+
+def score_of(words: list[str], scorer: str, found: dict[str, TermStats], n: int, total: int, whole: tuple[int, dict[str, int]]) -> Column:
+    """A document's score from its tf0, tf1, ... and doc_len. whole: documents and frequencies over all segments, for TF-IDF."""
+    distinct, parts = list(dict.fromkeys(words)), []
+    for t in words:
+        tf = F.col(f"tf{distinct.index(t)}")
+        if scorer == "tfidf":
+            parts.append(tf_idf(tf, F.lit(whole[1][t]), F.lit(whole[0])))
+        else:
+            df = found[t].doc_freq if t in found else 0
+            parts.append(bm25(tf, F.lit(df), F.lit(n), F.col("doc_len"), F.lit(total / n if n else 0.0)))
+    return reduce(Column.__add__, parts)
+
+
+def bounded(words: list[str], mode: str, scorer: str, found: dict[str, TermStats], n: int, total: int, whole: tuple[int, dict[str, int]]) -> float:
+    """No document of the segment scores more: both rankings grow with tf, and BM25 falls with a document's length."""
+    own = [found[t] for t in words if t in found]
     if mode == "phrase":
-        scored = phrase(own.select("segment_id", "doc_id", "term", F.explode("positions").alias("pos")), words)
-        return docs.select("segment_id", "doc_id", "path").join(scored, ["segment_id", "doc_id"])
-    distinct, by = list(dict.fromkeys(words)), ["segment_id"] if scorer == "bm25" else []
-    tf = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(distinct)]
-    counts = own.groupBy("segment_id", "doc_id").agg(*tf).where(_match(mode, len(distinct)))
-    df = [F.sum(F.when(F.col("term") == t, F.col("doc_freq"))).alias(f"df{i}") for i, t in enumerate(distinct)]
-    found = terms.where(F.col("term").isin(*distinct)).groupBy(*by).agg(*df)
-    sizes = meta.groupBy(*by).agg(F.sum("doc_count").alias("n"), F.sum("position_count").alias("total"))
-    stats = (sizes.join(found, by) if by else sizes.crossJoin(found)).na.fill(0, [f"df{i}" for i in range(len(distinct))])
-    matched = docs.select("segment_id", "doc_id", "path", "doc_len").join(counts, ["segment_id", "doc_id"])
-    return _scored(matched, stats, by, words, scorer).select("segment_id", "doc_id", "path", "score")
+        return float(min(s.max_tf for s in own))
+    out = 0.0
+    for t in words:
+        if t in found and scorer == "tfidf":
+            out += found[t].max_tf * math.log(whole[0] / whole[1][t])
+        elif t in found and total:
+            s = found[t]
+            idf = math.log((n - s.doc_freq + 0.5) / (s.doc_freq + 0.5) + 1.0)
+            out += idf * s.max_tf * (K1 + 1.0) / (s.max_tf + K1 * (1.0 - B + B * s.min_len / (total / n)))
+    return out
+
+
+def _moved(positions: Column, offset: int) -> Column:
+    return F.transform(positions, lambda x: x - offset)
+
+
+def search_segment(docs: DataFrame, postings: DataFrame, words: list[str], mode: str, score: Column, found: dict[str, TermStats], keep: Column | None = None) -> DataFrame:
+    """(doc_id, path, score) of a segment's matches, from docs(doc_id, path) and postings(term, doc_id, tf, doc_len, positions).
+
+    Both bucketed by doc_id, nothing is shuffled: a document's postings and its path are in the same bucket. A phrase is found by
+    intersecting the terms' positions, each moved to the phrase's beginning.
+    """
+    distinct = list(dict.fromkeys(words))
+    own = term_lookup(postings, [t for t in distinct if t in found])
+    if keep is not None:
+        own, docs = own.where(keep), docs.where(keep)
+
+    def of(t: str, value: str) -> Column:
+        return F.max(F.when(F.col("term") == t, F.col(value)))
+
+    if mode == "phrase":
+        places = own.groupBy("doc_id").agg(*[of(t, "positions").alias(f"p{i}") for i, t in enumerate(distinct)])
+        places = places.where(reduce(Column.__and__, [F.col(f"p{i}").isNotNull() for i in range(len(distinct))]))
+        starts = [_moved(F.col(f"p{distinct.index(t)}"), o) for o, t in enumerate(words)]
+        matched = places.select("doc_id", F.size(reduce(F.array_intersect, starts)).cast("double").alias("score")).where("score > 0")
+    else:
+        tf = [F.coalesce(of(t, "tf"), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(distinct)]
+        counts = own.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), *tf).where(_match(mode, len(distinct)))
+        matched = counts.select("doc_id", score.alias("score"))
+    return docs.select("doc_id", "path").join(matched.hint("merge"), "doc_id")
 
 
 def phrase(tokens: DataFrame, terms: list[str]) -> DataFrame:

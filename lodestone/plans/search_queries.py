@@ -321,8 +321,8 @@ def store(spark: SparkSession, d: str, merged: bool = False) -> SegmentStore:
     if key not in _stores:
         made = SegmentStore(spark, scratch_folder(spark, "store"))
         found = docs(spark, d)
-        for i in range(1, 5):
-            made.append(found.where(F.col("segment_id") == f"seg_{i:06d}").drop("segment_id"))
+        for i in range(4):  # one scan a segment: the id says where a document goes
+            made.append(found.where(F.col("doc_id") % 4 == i).drop("segment_id"))
         if merged:
             made.merge()
         _stores[key] = made
@@ -344,6 +344,44 @@ for _scorer in ("tfidf", "bm25"):
     for _mode in ("and", "or"):
         _register_stored(f"stored_{_scorer}_{_mode}", _mode, _scorer)
 
+
+
+@query(_ranking("or", "bm25", ["tion", "the", "tion"], "ORDER BY score DESC, path, doc_id LIMIT 7"))
+def stored_topk(spark, d):
+    """The 7 best by score bounds: segments that can't reach them aren't read."""
+    found = store(spark, d).search("tion the tion", "or", "bm25", k=7)
+    return found.select("segment_id", "doc_id", "path", F.round("score", 6).alias("score"))
+
+
+@query(_ranking("and", "bm25", ["tion", "the", "ble", "of"], ""))
+def stored_rare_and(spark, d):
+    """An AND of frequent terms and a rarer one, whose documents filter the scans of the others."""
+    return _stored(spark, d, "tion the ble of", "and", "bm25")
+
+
+@query(_ranking("and", "tfidf", ["tion", "the"], ""))
+def stored_bloom_and(spark, d):
+    """As stored_rare_and, with a Bloom filter in place of lists of documents."""
+    found = store(spark, d).plan("tion the", "and", "tfidf", id_list=0).frame
+    return found.select("segment_id", "doc_id", "path", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {POSTINGS}, lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1)
+SELECT segment_id, term, count(*) AS doc_freq, CAST(sum(len(positions)) AS BIGINT) AS positions, max(len(positions)) AS max_tf, min(n) AS min_len
+FROM postings JOIN lengths USING (doc_id) WHERE term IN ('tion', 'ble', 'the') GROUP BY 1, 2""")
+def stored_dictionary(spark, d):
+    """The dictionary's rows of four terms, one of which is nowhere."""
+    return store(spark, d).lookup(["tion", "ble", "the", "absentterm"]).select("segment_id", "term", "doc_freq", "positions", "max_tf", "min_len")
+
+
+@query(f"""WITH {TOKENS}, starts AS (SELECT a.segment_id, a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+JOIN tokens c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'of')
+SELECT s.segment_id, s.doc_id, path, CAST(count(*) AS DOUBLE) AS score FROM starts s JOIN docs USING (doc_id) GROUP BY ALL ORDER BY score DESC, path, doc_id LIMIT 5""")
+def stored_phrase_topk(spark, d):
+    """The five documents with most occurrences of a phrase in which a term stands twice."""
+    return store(spark, d).search("of the of", "phrase", k=5).select("segment_id", "doc_id", "path", "score")
+
+
 PHRASES = f"""WITH {TOKENS}, hits AS (SELECT a.segment_id, a.doc_id, CAST(count(*) AS DOUBLE) AS score FROM tokens a JOIN tokens b
 ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY ALL)
 SELECT hits.segment_id, hits.doc_id, path, score FROM hits JOIN docs USING (doc_id)"""
