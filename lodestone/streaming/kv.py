@@ -1,17 +1,27 @@
-"""Command logs as a stream: one state entry per key, rows of a micro-batch folded in the order of seq.
+"""Command logs as a stream, rows folded in the order of seq with the eviction of the reference semantics.
 
-Commands on all keys (KEYS, DBSIZE, CLEAR) can't be seen by the state of one key and are refused. Unlike the batch
-form, time may go backwards, since rows are folded one by one with the eviction of the reference semantics.
+start() answers all eleven commands. Keys are dealt into a fixed number of shards; a shard's entries are map state in RocksDB, of which a
+micro-batch touches the keys that it names. Commands on all keys (KEYS, DBSIZE, CLEAR) go to every shard, each of which sees them between its own
+rows; what the shards say is put together by seq once the micro-batch is through. Time is the log's own (now_ms) and may go backwards; seq must
+grow from batch to batch. An expired entry stays in the state until a command evicts it: a DEL before that still finds it.
+
+Limits: a shard sorts its rows of a micro-batch, and after KEYS or DBSIZE holds its entries, in one task; more shards make both
+smaller, and a source's trigger options bound the batch. The number of shards is fixed by the checkpoint.
+
+responses() is the form with a state entry per key, for keyed commands alone; it leaves commands on all keys out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "seq long, key string, response string"
 STATE = "present boolean, value string, deadline long"
@@ -79,3 +89,122 @@ def responses_batch(ops: DataFrame) -> DataFrame:
 
     own = ops.where(F.col("key").isNotNull() & ~F.col("op").isin("KEYS", "DBSIZE", "CLEAR"))
     return own.groupBy("key").applyInPandas(run, OUT)
+
+
+GLOBAL = ("KEYS", "DBSIZE", "CLEAR")
+SHARDS = 64
+#: What shards say: a reply, an error, or a shard's share of a global one (a key, or a number of entries).
+SAID = "seq long, op string, part string, n long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Entries:
+    """A shard's entries during a micro-batch: read when first named, written back once at its end."""
+
+    def __init__(self, state):
+        self.state, self.known, self.changed = state, {}, set()
+        self.whole = self.cleared = False
+
+    def get(self, key: str) -> tuple | None:
+        if key not in self.known:
+            there = not self.whole and not self.cleared and self.state.containsKey((key,))
+            self.known[key] = tuple(self.state.getValue((key,))) if there else None
+        return self.known[key]
+
+    def put(self, key: str, entry: tuple | None) -> None:
+        if self.get(key) != entry:
+            self.known[key] = entry
+            self.changed.add(key)
+
+    def all(self) -> dict[str, tuple]:
+        if not self.whole and not self.cleared:
+            for key, entry in self.state.iterator():
+                self.known.setdefault(key[0], tuple(entry))
+        self.whole = True
+        return {k: e for k, e in self.known.items() if e is not None}
+
+    def clear(self) -> None:
+        self.known, self.changed, self.cleared = {}, set(), True
+
+    def save(self) -> None:
+        if self.cleared:
+            self.state.clear()
+        for key in sorted(self.changed):
+            if self.known[key] is not None:
+                self.state.updateValue((key,), self.known[key])
+            elif not self.cleared and self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+
+
+class _Shard(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("entries", "key string", "value string, deadline long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        entries, out = _Entries(self.state), []
+        for r in sorted(rows, key=lambda r: r.seq):
+            if r.error is not None:
+                out.append((r.seq, "reply", f"-ERR {r.error}\r\n", None))
+            elif r.op == "PING":
+                out.append((r.seq, "reply", "+PONG\r\n", None))
+            elif r.op == "CLEAR":
+                entries.clear()
+                out.append((r.seq, r.op, None, 0))
+            elif r.op in GLOBAL:
+                live = entries.all()
+                for k in [k for k, (_, deadline) in live.items() if deadline is not None and r.now_ms >= deadline]:
+                    entries.put(k, None)
+                    del live[k]
+                out.append((r.seq, r.op, None, len(live)))
+                out.extend((r.seq, r.op, k, 0) for k in live if r.op == "KEYS")
+            else:
+                replies, entry = fold([(r.seq, r.now_ms, r.op, r.value, r.ttl_ms)], entries.get(r.key))
+                entries.put(r.key, entry)
+                out.append((replies[0][0], "reply", replies[0][1], None))
+        entries.save()
+        for seq, op, part, n in out:
+            yield Row(seq=seq, op=op, part=part, n=n)
+
+    def close(self) -> None:
+        pass
+
+
+def said(ops: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """What each shard says to a stream of ops(seq, now_ms, op, key, value, ttl_ms and, if there is one, error)."""
+    error = F.col("error") if "error" in ops.columns else F.lit(None).cast("string")
+    everywhere = F.coalesce(F.col("op").isin(*GLOBAL), F.lit(False)) & F.isnull("error")
+    own = F.pmod(F.xxhash64(F.coalesce("key", F.col("seq").cast("string"))), F.lit(shards)).cast("int")
+    rows = ops.select("seq", "now_ms", "op", "key", "value", F.col("ttl_ms").cast("long").alias("ttl_ms"), error.alias("error"))
+    dealt = rows.withColumn("shard", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(own))))
+    return dealt.groupBy("shard").transformWithState(_Shard(), SAID, "append", "none")
+
+
+def together(parts: DataFrame) -> DataFrame:
+    """(seq, response) of a micro-batch from what its shards said."""
+    shares = parts.where("op <> 'reply'").groupBy("seq", "op").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("part")).alias("keys"))
+    text = F.when(F.col("op") == "CLEAR", "+OK").when(F.col("op") == "DBSIZE", F.concat(F.lit(":"), F.col("n").cast("string"))).otherwise(F.concat(F.lit("$"), F.array_join("keys", " ")))
+    whole = shares.select("seq", F.concat(text, F.lit("\r\n")).alias("response"))
+    return parts.where("op = 'reply'").select("seq", F.col("part").alias("response")).unionByName(whole)
+
+
+def start(ops: DataFrame, checkpoint: str, answer: Callable[[DataFrame, int], None] | str, shards: int = SHARDS, available_now: bool = False) -> StreamingQuery:
+    """Answer a stream of commands. answer takes (seq, response) and the number of each micro-batch, or is a folder for them.
+
+    In a folder a batch has a part of its own, which a batch that is played again replaces; read it with Spark as Parquet. Sets the session's
+    state store to RocksDB, which map state needs.
+    """
+    ops.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def give(parts: DataFrame, number: int) -> None:
+        parts = parts.persist()  # two reads of a batch; the state is not to be stepped twice
+        try:
+            replies = together(parts)
+            if isinstance(answer, str):
+                replies.write.mode("overwrite").parquet(f"{answer}/batch={number}")
+            else:
+                answer(replies, number)
+        finally:
+            parts.unpersist()
+
+    writer = said(ops, shards).writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(give)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
