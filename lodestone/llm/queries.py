@@ -150,7 +150,8 @@ if corpus_pipeline.ORACLE_SQL:
 
 @query()
 def op4_substring_dedup(spark, d):
-    return substring_dedup.repeated_passages(table(spark, d, "documents").select("doc_id", "text"))
+    """A row for each document and repeated stretch, with its class: no row for each pair."""
+    return substring_dedup.stretches_in_classes(substring_dedup.repeated_passages(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _code_sql(rounds: int = 6) -> str:
