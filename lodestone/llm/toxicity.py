@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +43,14 @@ SHARD_ROWS, SHARD_BYTES, ROUNDS = 5000, 8_000_000, 4
 UNIT, LOGIT_UNIT = 1 << 24, 1 << 10
 #: Rows of each label that a language needs for a threshold of its own.
 CALIBRATION_ROWS = 12
-#: Bytes of hashed words in a batch to score, and words scored at a time.
+#: Bytes of text whose words are hashed at once, and words scored at a time.
 SCORED_BYTES = 2 << 20
 CHUNK = 1 << 15
 PADDING = 0
 
 
 def word_ids(text: Column, buckets: int = BUCKETS) -> Column:
-    """Hashed forms of the words, 1 to buckets - 1, as array<int>: len(FORMS) numbers a word."""
+    """Hashed forms of the words, 1 to buckets - 1, as array<int>: len(FORMS) numbers a word. coded_words() gives the same for a batch."""
 
     def hashed(form: Column, n: int) -> Column:
         return (F.pmod(F.xxhash64(form, F.lit(n)), F.lit(buckets - 1)) + 1).cast("int")
@@ -57,6 +59,35 @@ def word_ids(text: Column, buckets: int = BUCKETS) -> Column:
     return F.flatten(F.transform(words, lambda w: F.array(*[hashed(F.left(w, F.lit(n)) if n else w, n) for n in FORMS])))
 
 
+def _hashed(forms: pa.Array, n: int, buckets: int) -> np.ndarray:
+    """The bucket of each form of n letters (0: the whole word): xxhash64(form, n) as Spark computes it."""
+    h = np.array([xxhash.xxh64_intdigest(form, 42) for form in forms.cast(pa.binary()).to_pylist()], np.uint64)
+    with np.errstate(over="ignore"):
+        h += np.uint64(0x27D4EB2F165667C5 + 4)
+        h ^= np.uint64(n * 0x9E3779B185EBCA87 & (1 << 64) - 1)
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+        h = (h ^ h >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+        h ^= h >> np.uint64(32)
+    return (h.view(np.int64) % (buckets - 1) + 1).astype(np.int32)
+
+
+def coded_words(lowered: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words x forms, each word's place among them, words of each text) of lower-case texts; each distinct word is hashed once."""
+    listed = pc.split_pattern_regex(lowered, r"[^\pL]+")
+    coded = listed.flatten().dictionary_encode()
+    some = np.asarray(pc.greater(pc.binary_length(coded.dictionary), 0))  # what isn't a letter at either end gives an empty word
+    code = np.asarray(coded.indices).astype(np.int64)
+    keep = some[code]
+    edge = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(np.asarray(pc.list_value_length(listed)), dtype=np.int64))]
+    words = coded.dictionary.filter(pa.array(some))
+    ids = np.empty((len(words), len(FORMS)), np.int32)
+    for i, n in enumerate(FORMS):
+        forms = (pc.utf8_slice_codeunits(words, 0, n) if n else words).dictionary_encode()
+        ids[:, i] = _hashed(forms.dictionary, n, buckets)[np.asarray(forms.indices)]
+    return ids, (np.cumsum(some) - 1)[code[keep]], np.diff(edge)
+
+
 @dataclass
 class Model:
     table: np.ndarray  # buckets x DIM
@@ -217,30 +248,37 @@ def train(rows: list[tuple[list[int], int, str | None]], epochs: int = EPOCHS, s
     return net.model(languages, evidence, thresholds)
 
 
-def score_texts(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Scores of texts whose words (x forms) follow each other. Long texts go through in chunks; maxima and sums are whole."""
+def score_texts(model: Model, ids: np.ndarray, sizes: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
+    """Scores of texts whose words (x forms) follow each other. Long texts go through in chunks; maxima and sums are whole.
+
+    code: the words' places in ids, where ids has each distinct word once.
+    """
     if model.constant is not None:
         return np.full(len(sizes), model.constant)
-    logit, language = logits(model, ids, sizes)
+    logit, language = logits(model, ids, sizes, code)
     z = logit - model.thresholds[language]
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -500, 500)))
 
 
-def logits(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def logits(model: Model, ids: np.ndarray, sizes: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The logit and the language's number of each text."""
     n = len(sizes)
     best = np.full((n, len(WIDTHS) * FILTERS), -np.inf, np.float32)
     proof = np.zeros((n, model.evidence.shape[1]))
     edge = max(WIDTHS) - 1
+    ids = np.concatenate([ids, np.full((1, len(FORMS)), PADDING, ids.dtype)])
+    vectors = np.empty((len(ids), model.table.shape[1]), np.float32)
+    for a in range(0, len(ids), CHUNK):
+        vectors[a : a + CHUNK] = sum(model.table[form] for form in ids[a : a + CHUNK].T)
     # each text's words with padding on both sides
     own = sizes + 2 * edge + (sizes == 0)
     starts = np.cumsum(own) - own
-    flat = np.full((int(own.sum()), len(FORMS)), PADDING, np.int64)
-    flat[np.repeat(starts + edge, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = ids
+    flat = np.full(int(own.sum()), len(ids) - 1, np.int64)
+    flat[np.repeat(starts + edge, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.arange(len(ids) - 1) if code is None else code
     for a in range(0, len(flat), CHUNK):
         part = flat[a : a + CHUNK + edge]
         doc = np.searchsorted(starts, np.arange(a, a + len(part)), side="right") - 1
-        rows = model.table[part].sum(axis=1) @ model.taps
+        rows = vectors[part] @ model.taps
         col = 0
         for i, w in enumerate(WIDTHS):
             m = min(CHUNK, len(part)) if len(part) - w + 1 >= CHUNK else len(part) - w + 1
@@ -259,7 +297,7 @@ def logits(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray
             best[docs, sl] = np.maximum(best[docs, sl], np.maximum.reduceat(h, cut, axis=0))
         m = min(CHUNK, len(part))
         cut = np.flatnonzero(np.diff(doc[:m], prepend=-1))
-        proof[doc[cut]] += np.add.reduceat(model.evidence[part[:m, 0]], cut, axis=0)
+        proof[doc[cut]] += np.add.reduceat(model.evidence[ids[part[:m], 0]], cut, axis=0)
     return np.maximum(best + model.bias, 0) @ model.out + model.out_bias, proof.argmax(axis=1)
 
 
@@ -270,6 +308,10 @@ def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(arr.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _lowered(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, shard_rows: int, shard_bytes: int) -> tuple[DataFrame, list, int]:
     """((shard, doc_id, toxic, apart, lang, w), counts by label, shards): all labelled rows of the training fold, a shard in one file.
 
@@ -294,7 +336,16 @@ def labelled(docs: DataFrame, labels: DataFrame, shard_rows: int, shard_bytes: i
     given = F.collect_list("toxic").over(Window.partitionBy("shard", "doc_id"))  # labels of one document
     rows = rows.withColumn("given", given).where("is_text").select("shard", "doc_id", F.explode("given").alias("toxic"), apart.alias("apart"), "lang", "text")
     rows = rows.sortWithinPartitions("shard", "doc_id", "toxic", "lang", "text")
-    return written(rows.select("shard", "doc_id", "toxic", "apart", "lang", word_ids(F.col("text")).alias("w")), "shards"), counts, shards
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", SCORED_BYTES):
+            ids, code, sizes = coded_words(batch.column(5))
+            edge = np.append(0, np.cumsum(sizes) * len(FORMS)).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(edge), pa.array(ids[code].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], words], [*batch.schema.names[:5], "w"])
+
+    rows = rows.select("shard", "doc_id", "toxic", "apart", "lang", _lowered("text").alias("text"))
+    return written(rows.mapInArrow(hashed, "shard long, doc_id long, toxic int, apart boolean, lang string, w array<int>"), "shards"), counts, shards
 
 
 def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -398,18 +449,15 @@ def score(docs: DataFrame, model: Model, only: tuple[str, ...] | None = None) ->
     """docs with score and predicted, from the text alone; only: the columns to pass through, all if None."""
     fields = [f for f in docs.schema if f.name not in ("score", "predicted") and (only is None or f.name in only)]
     names = [f.name for f in fields]
-    (listed,) = unused(names, "words")
+    (lowered,) = unused(names, "lowered")
     out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets, filters and languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, listed, SCORED_BYTES):
-            words = batch.column(batch.schema.get_field_index(listed))
-            offsets = np.asarray(words.offsets).astype(np.int64)
-            ids = np.asarray(words.values)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.int64)
-            forms = len(FORMS)
-            z = score_texts(shared.value, ids.reshape(-1, forms), np.diff(offsets) // forms) if batch.num_rows else np.zeros(0)
+        for batch in small_batches(batches, lowered, SCORED_BYTES):
+            ids, code, sizes = coded_words(batch.column(batch.schema.get_field_index(lowered)))
+            z = score_texts(shared.value, ids, sizes, code)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(z, pa.float64()), pa.array((z >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return map_batches(docs.select(*quoted(names), word_ids(F.col("text")).alias(listed)), run, out)
+    return map_batches(docs.select(*quoted(names), _lowered("text").alias(lowered)), run, out)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -651,6 +652,27 @@ def test_toxicity_equals_a_plain_network(docs_of, spark):
     assert np.allclose([r.score for r in got], [plain_score(model, ids[r.doc_id, r.text]) for r in got], atol=1e-4)
 
 
+def test_toxicity_hashes_distinct_words_as_spark_does(docs_of):
+    rng = random.Random(21)
+    letters = "aB\u00dc\u00df\u0130\u03a3\u03c3\u4e2d\u0301\U00010400z9_ \n\t-'\u00a0\0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["", " ", "\n", "word", " word ", "a" * 40_000, "abcdefgh abcd abcde abcdefgh", "same " * 3000, "-x-"]
+    rows = docs_of(texts).select("doc_id", toxicity._lowered("text").alias("low"), toxicity.word_ids(F.col("text")).alias("w")).orderBy("doc_id").collect()
+    ids, code, sizes = toxicity.coded_words(pa.array([r.low for r in rows], pa.string()))
+    got = np.split(ids[code], np.cumsum(sizes)[:-1])
+    assert [g.ravel().tolist() for g in got] == [r.w for r in rows] and len(ids) == len(np.unique(code))
+    none = toxicity.coded_words(pa.array([], pa.string()))
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_toxicity_distinct_words_score_as_all_words():
+    rng = np.random.default_rng(4)
+    model = toxicity.train([(rng.integers(1, 90, 3 * int(n)).tolist(), int(n % 2), "en") for n in rng.integers(1, 60, 60)], epochs=1)
+    ids, sizes = rng.integers(1, 90, (20, 3)), np.array([0, 5, 0, 70, 1])
+    code = rng.integers(0, 20, int(sizes.sum()))
+    assert np.allclose(toxicity.score_texts(model, ids, sizes, code), toxicity.score_texts(model, ids[code], sizes), atol=1e-6)
+
+
 def test_toxicity_chunks_don_t_matter(monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(rng.integers(1, 900, 3 * int(n)).tolist(), int(n % 2), "en") for n in rng.integers(1, 60, 60)]
