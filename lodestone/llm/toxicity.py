@@ -45,8 +45,10 @@ UNIT, LOGIT_UNIT = 1 << 24, 1 << 10
 CALIBRATION_ROWS = 12
 #: Bytes of text whose words are hashed at once, and words scored at a time.
 SCORED_BYTES = 2 << 20
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 PADDING = 0
+# The primes of xxHash64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def word_ids(text: Column, buckets: int = BUCKETS) -> Column:
@@ -59,16 +61,49 @@ def word_ids(text: Column, buckets: int = BUCKETS) -> Column:
     return F.flatten(F.transform(words, lambda w: F.array(*[hashed(F.left(w, F.lit(n)) if n else w, n) for n in FORMS])))
 
 
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _four(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _turned(h ^ x * P1, 23) * P2 + P3
+
+
+def _final(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * P2
+    h = (h ^ h >> np.uint64(29)) * P3
+    return h ^ h >> np.uint64(32)
+
+
+def xxhash64(words: pa.Array, seed: int = 42) -> np.ndarray:
+    """xxHash64 of each word, those of one length at once; words of 32 bytes or more one by one."""
+    out = np.zeros(len(words), np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    size, data = np.diff(offsets), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    with np.errstate(over="ignore"):
+        for n in np.unique(size[size < 32]).tolist():
+            own = np.flatnonzero(size == n)
+            letters = data[offsets[own][:, None] + np.arange(n)]
+            h = np.full(len(own), seed + n, np.uint64) + P5
+            for i in range(0, n - 7, 8):
+                x = _turned(np.ascontiguousarray(letters[:, i : i + 8]).view("<u8")[:, 0] * P2, 31) * P1
+                h = _turned(h ^ x, 27) * P1 + P4
+            at = n // 8 * 8
+            if n - at >= 4:
+                h = _four(h, np.ascontiguousarray(letters[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64))
+                at += 4
+            for i in range(at, n):
+                h = _turned(h ^ letters[:, i] * P5, 11) * P1
+            out[own] = _final(h)
+    for i in np.flatnonzero(size >= 32).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes(), seed)
+    return out
+
+
 def _hashed(forms: pa.Array, n: int, buckets: int) -> np.ndarray:
     """The bucket of each form of n letters (0: the whole word): xxhash64(form, n) as Spark computes it."""
-    h = np.array([xxhash.xxh64_intdigest(form, 42) for form in forms.cast(pa.binary()).to_pylist()], np.uint64)
     with np.errstate(over="ignore"):
-        h += np.uint64(0x27D4EB2F165667C5 + 4)
-        h ^= np.uint64(n * 0x9E3779B185EBCA87 & (1 << 64) - 1)
-        h = (h << np.uint64(23) | h >> np.uint64(41)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
-        h = (h ^ h >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(32)
+        h = _final(_four(xxhash64(forms) + P5 + np.uint64(4), np.uint64(n)))
     return (h.view(np.int64) % (buckets - 1) + 1).astype(np.int32)
 
 
@@ -116,12 +151,15 @@ class _Net:
         self.steps = 0
 
     def forward(self, ids: np.ndarray):
-        x = self.p["e"][ids].sum(axis=1)
+        e = self.p["e"]
+        x = sum((e[form] for form in ids.T[1:]), e[ids[:, 0]])
         maxima, places = [], []
         for w in WIDTHS:
             n = len(ids) - w + 1
             taps = self.p[f"w{w}"].reshape(w, DIM, FILTERS)
-            h = sum(x[j : j + n] @ taps[j] for j in range(w))
+            h = x[:n] @ taps[0]
+            for j in range(1, w):
+                h += x[j : j + n] @ taps[j]
             at = h.argmax(axis=0)
             maxima.append(h[at, np.arange(FILTERS)] + self.p[f"b{w}"])
             places.append(at)
@@ -148,9 +186,11 @@ class _Net:
     def step(self, grads: dict, n: int) -> None:
         self.steps += 1
         rate = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        rows, where = np.unique(np.concatenate([i for i, _ in grads["e"]]), return_inverse=True)
-        ge = np.zeros((len(rows), DIM), np.float32)
-        np.add.at(ge, where, np.concatenate([g for _, g in grads["e"]]))
+        rows = np.concatenate([i for i, _ in grads["e"]])
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        ge = np.add.reduceat(np.concatenate([g for _, g in grads["e"]])[order], starts, axis=0)
+        rows = rows[order[starts]]
         for k in self.p:
             g = (ge if k == "e" else grads[k]) / n
             at = rows if k == "e" else slice(None)
@@ -270,6 +310,7 @@ def logits(model: Model, ids: np.ndarray, sizes: np.ndarray, code: np.ndarray |
     vectors = np.empty((len(ids), model.table.shape[1]), np.float32)
     for a in range(0, len(ids), CHUNK):
         vectors[a : a + CHUNK] = sum(model.table[form] for form in ids[a : a + CHUNK].T)
+    taps, first = np.ascontiguousarray(model.taps.T), ids[:, 0].copy()
     # each text's words with padding on both sides
     own = sizes + 2 * edge + (sizes == 0)
     starts = np.cumsum(own) - own
@@ -278,26 +319,25 @@ def logits(model: Model, ids: np.ndarray, sizes: np.ndarray, code: np.ndarray |
     for a in range(0, len(flat), CHUNK):
         part = flat[a : a + CHUNK + edge]
         doc = np.searchsorted(starts, np.arange(a, a + len(part)), side="right") - 1
-        rows = vectors[part] @ model.taps
+        rows = taps @ vectors.take(part, axis=0).T  # filters x words
         col = 0
         for i, w in enumerate(WIDTHS):
             m = min(CHUNK, len(part)) if len(part) - w + 1 >= CHUNK else len(part) - w + 1
             if m <= 0:
                 col += w * FILTERS
                 continue
-            h = rows[:m, col : col + FILTERS].copy()
+            h = rows[col : col + FILTERS, :m]  # each row is used once
             for j in range(1, w):
-                h += rows[j : j + m, col + j * FILTERS : col + (j + 1) * FILTERS]
+                h += rows[col + j * FILTERS : col + (j + 1) * FILTERS, j : j + m]
             col += w * FILTERS
-            whole = doc[:m] == doc[w - 1 : w - 1 + m]  # a filter stays within its text
-            h[~whole] = -np.inf
+            h[:, np.flatnonzero(doc[:m] != doc[w - 1 : w - 1 + m])] = -np.inf  # a filter stays within its text
             cut = np.flatnonzero(np.diff(doc[:m], prepend=-1))
             docs = doc[cut]
             sl = slice(i * FILTERS, (i + 1) * FILTERS)
-            best[docs, sl] = np.maximum(best[docs, sl], np.maximum.reduceat(h, cut, axis=0))
+            best[docs, sl] = np.maximum(best[docs, sl], np.maximum.reduceat(h, cut, axis=1).T)
         m = min(CHUNK, len(part))
         cut = np.flatnonzero(np.diff(doc[:m], prepend=-1))
-        proof[doc[cut]] += np.add.reduceat(model.evidence[ids[part[:m], 0]], cut, axis=0)
+        proof[doc[cut]] += np.add.reduceat(model.evidence.take(first.take(part[:m]), axis=0), cut, axis=0)
     return np.maximum(best + model.bias, 0) @ model.out + model.out_bias, proof.argmax(axis=1)
 
 
