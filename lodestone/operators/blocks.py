@@ -110,6 +110,20 @@ def replica_fallback(blocks: DataFrame, replicas: DataFrame, readable: DataFrame
     return picked.select("path", "idx", "id", F.col("best.node_id").alias("node_id"), status.alias("status"))
 
 
+def failover(blocks: DataFrame, down: DataFrame) -> DataFrame:
+    """Adds node_id and status to blocks(path, idx, id, nodes array): replica_fallback() where whole nodes fail.
+
+    node_id is the first of a block's nodes that is not in down(node_id). Nodes are few beside blocks, so they go to the blocks in one row
+    and no block is shuffled. status: ok, no_replicas (none listed) or unreadable (all of them down).
+    """
+    one = down.agg(F.collect_set("node_id").alias("_down"))  # nodes of the cluster
+    nodes = F.coalesce("nodes", F.array().cast("array<string>"))
+    up = F.filter(nodes, lambda n: ~F.array_contains("_down", n))
+    status = F.when(F.size(up) > 0, "ok").when(F.size(nodes) == 0, "no_replicas").otherwise("unreadable")
+    joined = blocks.select("path", "idx", "id", "nodes").crossJoin(F.broadcast(one))  # a single row
+    return joined.select("path", "idx", "id", F.get(up, F.lit(0)).alias("node_id"), status.alias("status"))
+
+
 def block_stat(blocks: DataFrame) -> DataFrame:
     """size and checksum of each stored block id, hashed again from its bytes."""
     return blocks.groupBy("id").agg(F.max("size").alias("size"), F.max(F.sha2("data", 256)).alias("checksum"))

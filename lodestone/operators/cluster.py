@@ -21,6 +21,43 @@ def latest_heartbeat(heartbeats: DataFrame, now: Column | None = None) -> DataFr
     return last.select("id", "b.addr", "b.capacity", "b.used", seen.alias("last_seen"), F.lit("alive").alias("state"))
 
 
+def _missing(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit("")) == ""
+
+
+def rejected_heartbeats(heartbeats: DataFrame) -> DataFrame:
+    """The heartbeats that latest_heartbeat() leaves out, and why: reason is empty_id or, with an id, empty_addr."""
+    reason = F.when(_missing("id"), "empty_id").when(_missing("addr"), "empty_addr")
+    return heartbeats.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """Requests(path, block_size, replicas, ...) to store a file that can't be met whatever the nodes, and why.
+
+    reason: invalid_block_size and invalid_replicas (null or not positive), then empty_path. The first one counts.
+    """
+    positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    reason = F.when(~positive("block_size"), "invalid_block_size").when(~positive("replicas"), "invalid_replicas")
+    return requests.withColumn("reason", reason.when(_missing("path"), "empty_path")).where("reason IS NOT NULL")
+
+
+def parse_state(text: Column) -> Column:
+    """struct(state, error) of a state's JSON text, a string with one of STATES exactly; error says what else it was.
+
+    What is no JSON string is invalid, as is null.
+    """
+    value = F.from_json(F.concat(F.lit('{"s":'), text, F.lit("}")), "s string", {"mode": "PERMISSIVE"})["s"]
+    value = F.when(text.rlike(r'(?s)^[ \t\r\n]*".*"[ \t\r\n]*$'), value)
+    known = F.coalesce(value.isin(*STATES), F.lit(False))
+    error = F.when(value.isNull(), "not a JSON string").when(~known, F.concat(F.lit("unknown node state: "), value))
+    return F.struct(F.when(known, value).alias("state"), error.alias("error"))
+
+
+def state_json(state: Column) -> Column:
+    """A state as JSON text; whatever is no state is written as unknown. The inverse of parse_state()."""
+    return F.concat(F.lit('"'), F.when(state.isin(*STATES), state).otherwise("unknown"), F.lit('"'))
+
+
 def register(nodes: DataFrame, now: Column) -> DataFrame:
     """Fill in what a registration leaves out: last_seen now, state alive; a given state stays."""
     state = F.coalesce(F.nullif("state", F.lit("unknown")), F.lit("alive"))

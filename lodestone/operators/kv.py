@@ -23,6 +23,8 @@ GLOBAL_READS = ("KEYS", "DBSIZE")
 SLICE = 1 << 16
 #: Keys of more than SLICE rows that are broadcast at most; more are joined by shuffles.
 MOST_BROADCAST = 100_000
+#: The frame of all rows before.
+BEFORE = (Window.unboundedPreceding, -1)
 
 # The number of arguments of each command.
 ARITY = {"PING": 0, "GET": 1, "SET": 2, "DEL": 1, "EXISTS": 1, "SETEX": 3, "TTL": 1, "PERSIST": 1, "KEYS": 0, "DBSIZE": 0, "CLEAR": 0}
@@ -79,10 +81,9 @@ def reply_error(name: Column) -> Column:
 def _carried(per: DataFrame, at: str, m: str) -> DataFrame:
     """(at, before): the largest m of all rows before, over slices of slices, so that one task has n / SLICE rows of them at most."""
     over = F.floor(F.col(at) / SLICE)
-    earlier = (Window.unboundedPreceding, -1)
-    inner = per.withColumn("_over", over).withColumn("_in", F.max(m).over(Window.partitionBy("_over").orderBy(at).rowsBetween(*earlier)))
+    inner = per.withColumn("_over", over).withColumn("_in", F.max(m).over(Window.partitionBy("_over").orderBy(at).rowsBetween(*BEFORE)))
     outer = per.groupBy(over.alias("_over")).agg(F.max(m).alias("_m"))
-    outer = outer.select("_over", F.max("_m").over(Window.orderBy("_over").rowsBetween(*earlier)).alias("_out"))
+    outer = outer.select("_over", F.max("_m").over(Window.orderBy("_over").rowsBetween(*BEFORE)).alias("_out"))
     return inner.join(outer, "_over").select(at, F.greatest("_in", "_out").alias("before"))
 
 
@@ -238,6 +239,21 @@ def del_log(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return joined.select("seq", "key", (held & ~F.coalesce(gone, F.lit(False))).cast("long").alias("result"))
 
 
+def following_clear(clears: DataFrame) -> DataFrame:
+    """(era, n): for each of clears(seq, now_ms) the next one, null for the last.
+
+    The next one within its own slice, else the first of the slices after; no task gets more than a slice.
+    """
+    own = F.struct("seq", "now_ms")
+    back = clears.withColumn("_slice", -F.floor(F.col("seq") / SLICE))  # counted from the end
+    inside = back.withColumn("_in", F.lead(own).over(Window.partitionBy("_slice").orderBy("seq")))
+    per = back.groupBy("_slice").agg(F.min(own).alias("f"))
+    # the nearest slice after has the largest number of those counted from the end
+    per = per.select("_slice", F.struct(F.col("_slice").alias("s"), "f").alias("m"))
+    found = inside.join(_carried(per, "_slice", "m"), "_slice")
+    return found.select(F.col("seq").alias("era"), F.coalesce("_in", "before.f").alias("n"))
+
+
 def lives(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(key, from_now, from_seq, to_now, to_seq): when entries are live, in the order of (time, seq); to_* null: to the end.
 
@@ -252,7 +268,7 @@ def lives(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     clears = ops.where("op = 'CLEAR'").select("seq", "now_ms")
     # the CLEAR that ends an era: a row for each CLEAR
     first = clears.agg(F.min(F.struct("seq", "now_ms")).alias("n")).select(F.lit(-1).cast("long").alias("era"), "n")
-    ends = first.unionByName(clears.select(F.col("seq").alias("era"), F.lead(F.struct("seq", "now_ms")).over(Window.orderBy("seq")).alias("n")))
+    ends = first.unionByName(following_clear(clears))
     per = per.join(ends.where("n IS NOT NULL"), "era", "left")
     end = F.coalesce(
         F.when(F.col("n_seq").isNotNull(), F.struct(F.col("n_now").alias("now"), F.col("n_seq").alias("seq"))),
@@ -264,18 +280,42 @@ def lives(ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
 
 def running(events: DataFrame) -> DataFrame:
-    """Adds to events(now, seq, delta) the sum of delta over all events before, in the order of (now, seq).
+    """Adds to events(now, seq, delta) the sum of delta over all events with a smaller (now, seq).
 
-    Within spans of time that hold about SLICE events each, after the sums of the spans before.
+    Within spans of time that hold about SLICE events each, after the sums of the spans before. Where a span has many
+    more (a time at which much ends at once), its events of one (now, seq) are summed first, and those of one time are
+    cut into slices of seq.
     """
     r = events.agg(F.min("now").alias("a"), F.max("now").alias("b"), F.count("*").alias("n")).first()
     width = max(1, ((r.b or 0) - (r.a or 0)) // max(1, r.n // SLICE) + 1)
     placed = events.withColumn("_span", F.floor(F.col("now") / F.lit(width)))
-    before = (Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("delta").over(Window.partitionBy("_span").orderBy("now", "seq").rowsBetween(*before)), F.lit(0))
-    spans = placed.groupBy("_span").agg(F.sum("delta").alias("_d"))
-    spans = spans.select("_span", F.coalesce(F.sum("_d").over(Window.orderBy("_span").rowsBetween(*before)), F.lit(0)).alias("_before"))
-    return placed.withColumn("_in", inside).join(spans, "_span").withColumn("before", (F.col("_in") + F.col("_before")).cast("long")).drop("_span", "_in", "_before")
+    spans = placed.groupBy("_span").agg(F.sum("delta").alias("_d"), F.count("*").alias("_n"))
+    full = spans.where(F.col("_n") > 4 * SLICE).select("_span")
+    spans = spans.select("_span", F.coalesce(F.sum("_d").over(Window.orderBy("_span").rowsBetween(*BEFORE)), F.lit(0)).alias("_before"))
+    if r.n > 4 * SLICE and (n_full := full.count()):
+        full = F.broadcast(full) if n_full <= MOST_BROADCAST else full
+        inside = _within_span(placed.join(full, "_span", "left_anti")).unionByName(_within_full_span(placed.join(full, "_span", "left_semi")))
+    else:
+        inside = _within_span(placed)
+    return inside.join(spans, "_span").withColumn("before", (F.col("_in") + F.col("_before")).cast("long")).drop("_span", "_in", "_before")
+
+
+def _within_span(placed: DataFrame) -> DataFrame:
+    order = Window.partitionBy("_span").orderBy("now", "seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = F.sum("delta").over(Window.partitionBy("_span", "now", "seq"))
+    return placed.withColumn("_in", F.sum("delta").over(order) - peers)
+
+
+def _within_full_span(placed: DataFrame) -> DataFrame:
+    """The same for spans with many events: over (now, slice of seq) and within those."""
+    part = ("_span", "now", "_slice")
+    points = placed.groupBy("_span", "now", "seq").agg(F.sum("delta").alias("_d")).withColumn("_slice", F.floor(F.col("seq") / SLICE))
+    slices = points.groupBy(*part).agg(F.sum("_d").alias("_s"))
+    carried = F.sum("_s").over(Window.partitionBy("_span").orderBy("now", "_slice").rowsBetween(*BEFORE))
+    own = F.sum("_d").over(Window.partitionBy(*part).orderBy("seq").rowsBetween(*BEFORE))
+    both = points.withColumn("_own", own).join(slices.withColumn("_c", carried), list(part))
+    total = F.coalesce("_own", F.lit(0)) + F.coalesce("_c", F.lit(0))
+    return placed.join(both.select("_span", "now", "seq", total.alias("_in")), ["_span", "now", "seq"])
 
 
 def dbsize_log(ops: DataFrame, spans: DataFrame | None = None) -> DataFrame:

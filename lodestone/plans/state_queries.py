@@ -260,6 +260,18 @@ def replica_fallback(spark, d):
     return B.replica_fallback(found, all_replicas.drop("id", "size"), readable)
 
 
+@query(f"""WITH {REPLICAS}, ok AS (SELECT path, idx, ord, node_id FROM replicas WHERE node_id NOT IN ('node-0', 'node-3', 'node-6') ),
+best AS (SELECT path, idx, arg_min(node_id, ord) AS node_id FROM ok GROUP BY 1, 2), n AS (SELECT DISTINCT path, idx FROM replicas)
+SELECT b.path, b.idx, b.id, best.node_id, CASE WHEN best.node_id IS NOT NULL THEN 'ok' WHEN n.idx IS NULL THEN 'no_replicas' ELSE 'unreadable' END AS status
+FROM blocks b LEFT JOIN best USING (path, idx) LEFT JOIN n USING (path, idx)""")
+def node_failover(spark, d):
+    """replica_fallback where three nodes are down; each block carries its nodes in order."""
+    nodes = F.transform(F.array(*[F.lit(o) for o in range(3)]), lambda o: F.concat(F.lit("node-"), ((F.col("idx") + o * 3) % 7).cast("string")))
+    listed = split(spark, d).select("path", "idx", "id", F.when(F.col("idx") % 5 != 4, nodes).alias("nodes"))
+    down = spark.range(0, 7, 3).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("node_id"))
+    return B.failover(listed, down)
+
+
 @query(f"""WITH {REPLICAS}, stored AS (SELECT DISTINCT node_id, id, size FROM replicas), sums AS (SELECT node_id, CAST(sum(size) AS BIGINT) AS used, count(*) AS blocks FROM stored GROUP BY 1),
 nodes AS (SELECT 'node-' || i AS node_id FROM range(9) AS r(i))
 SELECT node_id, CAST(1073741824 AS BIGINT) AS capacity, coalesce(used, 0) AS used, coalesce(blocks, 0) AS blocks FROM nodes LEFT JOIN sums USING (node_id)""")
@@ -362,6 +374,41 @@ def register_nodes(spark, d):
     return done.select("id", F.unix_micros("last_seen").alias("last_seen_us"), "state")
 
 
+@query("""SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 'empty_id' ELSE 'empty_addr' END AS reason FROM events WHERE user_id % 9 = 0 OR event_id % 11 < 2""")
+def rejected_heartbeats(spark, d):
+    """Heartbeats of every ninth user have no id, those of two events in eleven no address (empty or null)."""
+    n = F.col("event_id") % 11
+    sent = table(spark, d, "events").select(
+        "event_id", F.when(F.col("user_id") % 9 == 0, "").otherwise(F.col("user_id").cast("string")).alias("id"),
+        F.when(n == 0, "").when(n > 1, F.concat(F.lit("host:"), n.cast("string"))).alias("addr"),
+    )
+    return C.rejected_heartbeats(sent).select("event_id", "reason")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 5 THEN 'invalid_block_size' WHEN l_linenumber < 2 THEN 'invalid_replicas' ELSE 'empty_path' END AS reason
+FROM lineitem WHERE l_quantity <= 5 OR l_linenumber < 2 OR l_partkey % 10 = 0""")
+def rejected_requests(spark, d):
+    """Requests with the quantity less 5 as block size, the line number less 1 as replicas and no path for every tenth part."""
+    asked = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 10 != 0, F.col("l_partkey").cast("string")).alias("path"),
+        (F.col("l_quantity") - 5).alias("block_size"), (F.col("l_linenumber") - 1).alias("replicas"),
+    )
+    return C.rejected_requests(asked).select("l_orderkey", "l_linenumber", "reason")
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'alive' WHEN 1 THEN 'suspect' WHEN 2 THEN 'dead' WHEN 3 THEN 'unknown' ELSE event_type END AS s FROM events)
+SELECT event_id, CASE WHEN event_id % 6 < 4 THEN s END AS state,
+CASE event_id % 6 WHEN 4 THEN 'unknown node state: ' || s WHEN 5 THEN 'not a JSON string' END AS error,
+'"' || CASE WHEN event_id % 6 < 4 THEN s ELSE 'unknown' END || '"' AS written FROM t""")
+def parsed_states(spark, d):
+    """States as JSON text, of six events one with another word and one without quotes, and the text written from them again."""
+    n = F.col("event_id") % 6
+    word = F.when(n == 0, "alive").when(n == 1, "suspect").when(n == 2, "dead").when(n == 3, "unknown").otherwise(F.col("event_type"))
+    text = F.when(n < 5, F.concat(F.lit('"'), word, F.lit('"'))).otherwise(word)
+    rows = table(spark, d, "events").select("event_id", C.parse_state(text).alias("p"))
+    return rows.select("event_id", "p.state", "p.error", C.state_json(F.col("p.state")).alias("written"))
+
+
 @query("""SELECT 'node-' || s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN 'dead' ELSE 'alive' END AS state FROM supplier
 WHERE s_suppkey % 5 <> 0 AND s_suppkey <= 50""")
 def registry_changes(spark, d):
