@@ -32,8 +32,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, SCALE, EVERY = 5, 256, 50
-#: Ratio of the norms within a bucket, rows of a block, queries of a block.
-RATIO, BLOCK, QUERIES = 1.1, 4096, 1024
+#: Ratio of the norms within a bucket, rows of a block.
+RATIO, BLOCK = 1.1, 4096
+#: A vector travels once to each group of queries, so few large groups are best: of so many components (8 MB of
+#: integers), and of LEAST queries where vectors are that long.
+GROUP_COMPONENTS, LEAST = 1 << 20, 1024
 #: Ranges of needed lengths that queries are grouped by.
 RANGES = 64
 #: From this cosine on coordinates are looked at, and so many of them.
@@ -131,10 +134,11 @@ def dealt_pairs(blocks: dict[int, tuple[int, int]], longest: dict[int, float], r
     return first_group, last_block, {"dealt": dealt, "skipped": every - dealt}
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES, report: dict | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int | None = None, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by `every`.
 
-    report gets the numbers of pairs of a group and a block that are dealt out and skipped.
+    query_block: queries of a group, by default as GROUP_COMPONENTS says. report gets the
+    numbers of pairs of a group and a block that are dealt out and skipped.
     """
     spark = vectors.sparkSession
     bucket = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / float(np.log(RATIO)))).otherwise(-1_000_000).cast("long")
@@ -151,7 +155,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
     table = F.broadcast(spark.createDataFrame([(b, s, n) for b, (s, n) in blocks.items()], "bucket long, first long, n long"))
     placed = rows.join(table, "bucket").select("id", "v", "bucket", (F.col("first") + F.pmod(F.xxhash64("id"), "n")).alias("block"))
     is_query = F.pmod("id", F.lit(every)) == 0
-    n_queries = rows.where(is_query).count()
+    n_queries, widest = rows.agg(F.count_if(is_query), F.max(F.size("v"))).first()
+    query_block = query_block or max(LEAST, GROUP_COMPONENTS // max(1, widest or 1))
     groups = max(1, -(-n_queries // query_block))
     queries = rows.where(is_query).select("id", "v", "norm")
     lead, seen = [], 0  # blocks of the longest vectors that give first thresholds

@@ -558,6 +558,24 @@ def test_top_k_deals_fewer_pairs_where_norms_are_spread(spark):
     assert sorted((r.query_id, -r.score, r.vec_id) for r in got) == want
 
 
+def test_top_k_deals_a_block_once_to_many_queries(spark):
+    """Vectors of one length, as of a normed model: no block is too short for a query, so groups must be large."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(50 * i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    report = {}
+    got = topk.top_k(df, block=500, report=report).groupBy("query_id").agg(F.collect_list(F.struct("rank", "vec_id", "score")).alias("r")).collect()
+    assert 0 < report["dealt"] + report["skipped"] <= 3000 / 250  # one group; about 6 blocks and some of rounded lengths
+    ints = np.floor(256 * v).astype(np.int64)
+    scores = ints @ ints.T
+    assert len(got) == 3000
+    for r in rng.choice(np.array(got, object), 200):
+        q = r[0] // 50
+        order = [c for c in np.lexsort((np.arange(3000), -scores[q]))[:6] if c != q][:5]
+        assert sorted(map(tuple, r[1])) == [(n + 1, 50 * int(c), int(scores[q, c])) for n, c in enumerate(order)]
+
+
 # --- 9 toxicity
 
 
