@@ -48,6 +48,33 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("segment_id", "term", "doc_id").agg(positions)
 
 
+def text_postings(docs: DataFrame, text: str = "text", buckets: int | None = None) -> DataFrame:
+    """postings() of docs(segment_id, doc_id, text), with tf and doc_len, made within each document: no token is shuffled or sorted with others'.
+
+    Texts are shuffled once, as rows of one (segment_id, doc_id) are one document. A document's tokens sorted by term and position
+    are runs of one term; a run is a posting. buckets: deal by doc_id to so many, as a bucketed table of one segment wants it.
+    """
+    key, found = ["segment_id", "doc_id"], docs.select("segment_id", "doc_id", text)
+    one = (found.repartition(buckets, "doc_id") if buckets else deal(found)).groupBy(*key).agg(F.collect_list(text).alias("_texts"))
+
+    def own(t: Column) -> Column:
+        found = F.transform(raw_tokens(t), lambda raw, i: F.struct(normalize(raw).alias("term"), i.cast("long").alias("pos")))
+        return F.filter(found, lambda w: w["term"] != "")
+
+    rows = one.select(*key, F.sort_array(F.flatten(F.transform("_texts", own))).alias("_s"))
+    term = lambda i: F.get("_s", i)["term"]
+    first = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    rows = rows.select(*key, "_s", F.size("_s").cast("long").alias("doc_len"), F.when(F.size("_s") > 0, first).alias("_first"))
+
+    def run(a: Column, j: Column) -> Column:
+        n = F.coalesce(F.get("_first", j + 1), F.size("_s")) - a
+        return F.struct(term(a).alias("term"), n.cast("long").alias("tf"), F.transform(F.slice("_s", a + 1, n), lambda w: w["pos"]).alias("positions"))
+
+    # exploded where they are made: of a column, Spark would test the size by making all of it again for each token. The rows don't carry _s
+    rows = rows.select(*key, "doc_len", F.explode(F.transform("_first", run)).alias("_p"))
+    return rows.select("segment_id", "_p.term", "doc_id", "_p.positions", "_p.tf", "doc_len")
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     """doc_freq of each term of each segment."""
     return postings.groupBy("segment_id", "term").agg(F.count("*").alias("doc_freq"))

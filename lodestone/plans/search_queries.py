@@ -35,7 +35,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(index.tokens(index.deal(docs(spark, d).drop("path"))))
+    return index.text_postings(docs(spark, d)).drop("tf", "doc_len")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, term, pos FROM tokens")
