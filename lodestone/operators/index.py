@@ -99,9 +99,17 @@ def index_stats(postings: DataFrame) -> DataFrame:
 def segment_meta(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """doc_count, term_count, posting_count, position_count and avg_doc_len of each segment.
 
-    Documents without tokens count as documents. One shuffle of the tokens: per posting first.
+    Documents without tokens count as documents. One shuffle of the tokens: per posting first. text_meta() has none.
     """
-    per_posting = tokens.groupBy("segment_id", "term", "doc_id").agg(F.count("*").alias("n"))
+    return _meta(docs, tokens.groupBy("segment_id", "term", "doc_id").agg(F.count("*").alias("n")))
+
+
+def text_meta(docs: DataFrame, text: str = "text") -> DataFrame:
+    """segment_meta() of docs(segment_id, doc_id, text): a segment's terms are shuffled, summed within tasks, and no tokens."""
+    return _meta(docs, text_postings(docs, text).select("segment_id", "term", F.col("tf").alias("n")))
+
+
+def _meta(docs: DataFrame, per_posting: DataFrame) -> DataFrame:
     per_term = per_posting.groupBy("segment_id", "term").agg(F.count("*").alias("p"), F.sum("n").alias("n"))
     counts = per_term.groupBy("segment_id").agg(
         F.count("*").alias("term_count"), F.sum("p").alias("posting_count"), F.sum("n").alias("position_count")

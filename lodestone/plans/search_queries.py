@@ -79,7 +79,7 @@ meta AS (SELECT segment_id, doc_count, coalesce(term_count, 0) AS term_count, co
 
 
 def meta(spark, d):
-    return index.segment_meta(docs(spark, d), tokens(spark, d))
+    return index.text_meta(docs(spark, d))
 
 
 @query(f"WITH {META} SELECT *, round(position_count / doc_count, 6) AS avg_doc_len FROM meta")
