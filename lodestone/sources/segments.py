@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import segment_number
 from ..functions.text import query_terms
-from ..operators.index import merge_segments, postings, tokens
+from ..operators.index import merge_segments, text_postings
 from ..operators.search import RESULT, TermStats, bloom, bounded, listed, rarest, score_of, search_segment, top_k
 
 MAX_SEGMENTS, ATTEMPTS = 8, 50
@@ -202,10 +202,8 @@ class SegmentStore:
         if not self.versions():  # the first writer fixes the number of buckets
             self._commit(lambda state: state if not state.version else None)
         segment_id = self._claim()
-        dealt = docs.select(F.lit(segment_id).alias("segment_id"), "doc_id", "text").repartition(self._state().buckets, "doc_id")
-        posts = postings(tokens(dealt)).withColumn("tf", F.size("positions").cast("long"))
+        posts = text_postings(docs.select(F.lit(segment_id).alias("segment_id"), "doc_id", "text"), buckets=self._state().buckets)
         # texts are dealt by document, so neither this nor the bucketed write shuffles tokens
-        posts = posts.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id")))
         self._write(segment_id, docs.drop("text"), posts)
         return segment_id
 

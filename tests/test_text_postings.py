@@ -34,3 +34,24 @@ def test_only_texts_are_dealt_for_postings(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list(pos" not in plan and "posexplode" not in plan
     assert "collect_list(text" in plan
+
+
+def test_meta_of_texts_equals_that_of_tokens(docs):
+    a, b = index.text_meta(docs), index.segment_meta(docs, index.tokens(docs))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_a_stored_segment_is_made_from_texts(spark, docs, tmp_path, monkeypatch):
+    """A segment's postings come from texts by document: before, they were grouped from tokens and their lengths summed in a window."""
+    from lodestone.sources import segments
+
+    seen = []
+    made = segments.text_postings
+    monkeypatch.setattr(segments, "text_postings", lambda *a, **b: seen.append(b) or made(*a, **b))
+    store = segments.SegmentStore(spark, f"file://{tmp_path}/store", buckets=4)
+    own = docs.where("segment_id = 'seg_000001'").dropDuplicates(["doc_id"])
+    store.append(own.select("doc_id", "text", index.F.lit("p").alias("path")))
+    assert seen == [{"buckets": 4}]
+    want = index.postings(index.tokens(own)).select("term", "doc_id", "positions")
+    got = store.read("postings").select("term", "doc_id", "positions")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
