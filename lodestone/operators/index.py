@@ -16,6 +16,8 @@ from ..functions.text import normalize, raw_tokens
 PIECE_ROWS, MOST_PIECES = 1_000_000, 2_000
 #: Numbers of documents that a term's gaps are worked on together.
 RANGE_ROWS = 1 << 20
+#: Bytes of text whose postings a task sorts by term: some ten times that in its memory.
+TERM_BYTES = 16 << 20
 
 
 def deal(docs: DataFrame) -> DataFrame:
@@ -131,13 +133,32 @@ def _ranges(order_by: str, within: int) -> Column:
     return F.floor(F.col(order_by) / within)
 
 
-def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: int) -> DataFrame:
+def term_ranges(docs: DataFrame) -> int | None:
+    """within for the functions below: none for up to RANGE_ROWS documents, as a term has no more rows than there are documents."""
+    return None if docs.count() <= RANGE_ROWS else RANGE_ROWS
+
+
+def by_term(postings: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """postings dealt out by (segment_id, term) to as many tasks as the texts need, whatever shuffles are dealt into.
+
+    Windows and groups of a segment's term then need no other shuffle.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(max(n, -(-size // TERM_BYTES)), "segment_id", "term")
+
+
+def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: int | None) -> DataFrame:
     """rows with before: over the rows of a segment's term that come earlier, the last value or the sum of values.
 
     A term of all documents isn't one task's: rows are worked on in ranges of `within` numbers of order_by, and what a range leaves is
-    carried to the next ones over one row a range. order_by is unique within a term.
+    carried to the next ones over one row a range. order_by is unique within a term. Without ranges a term is a task's: one pass.
     """
     key = ["segment_id", "term"]
+    if within is None:
+        whole = Window.partitionBy(*key).orderBy(order_by)
+        found = F.lag(value).over(whole) if last else F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("before", F.coalesce(found, F.lit(0).cast("long")))
     rows = rows.withColumn("_range", _ranges(order_by, within)).withColumn("_value", value)
     inside = Window.partitionBy(*key, "_range").orderBy(order_by)
     total = F.max_by("_value", order_by) if last else F.sum("_value")
@@ -155,11 +176,21 @@ def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: i
     return joined.withColumn("before", before).drop("_range", "_value", "_own", "_carried")
 
 
-def postings_size(postings: DataFrame, within: int = RANGE_ROWS) -> DataFrame:
-    """Bytes of each term's varint-coded posting list: gaps of ids, counts and gaps of positions."""
+def own_size(positions: Column) -> Column:
+    """Bytes of a posting's count and gaps of positions."""
+    gaps = F.aggregate(gap_encode(positions), F.lit(0).cast("long"), lambda a, x: a + varint_length(x))
+    return varint_length(F.size(positions).cast("long")) + gaps
+
+
+def postings_size(postings: DataFrame, within: int | None = RANGE_ROWS) -> DataFrame:
+    """Bytes of each term's varint-coded posting list: gaps of ids, counts and gaps of positions.
+
+    postings with positions, or with own in their place, their own_size(): positions needn't be shuffled.
+    """
+    if "own" not in postings.columns:
+        postings = postings.select("segment_id", "term", "doc_id", own_size(F.col("positions")).alias("own"))
     rows = _before(postings, "doc_id", F.col("doc_id"), True, within)
-    own = F.aggregate(gap_encode(F.col("positions")), F.lit(0).cast("long"), lambda a, x: a + varint_length(x))
-    size = varint_length(F.col("doc_id") - F.col("before")) + varint_length(F.size("positions").cast("long")) + own
+    size = varint_length(F.col("doc_id") - F.col("before")) + F.col("own")
     sized = rows.select("segment_id", "term", size.alias("bytes")).groupBy("segment_id", "term")
     return sized.agg((F.sum("bytes") + varint_length(F.count("*"))).alias("bytes"))
 
@@ -194,13 +225,13 @@ def _piece_of(value: Column, cuts: list[str], first: int) -> Column:
     return F.when(value < cuts[m], _piece_of(value, cuts[:m], first)).otherwise(_piece_of(value, cuts[m + 1 :], first + m + 1))
 
 
-def gap_rows(postings: DataFrame, within: int = RANGE_ROWS) -> DataFrame:
+def gap_rows(postings: DataFrame, within: int | None = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id, gap): gaps of the ids of a term, a row each, so that no list of a common term is built."""
     rows = _before(postings.select("segment_id", "term", "doc_id"), "doc_id", F.col("doc_id"), True, within)
     return rows.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.col("before")).alias("gap"))
 
 
-def ungap_rows(gaps: DataFrame, order_by: str = "ord", within: int = RANGE_ROWS) -> DataFrame:
+def ungap_rows(gaps: DataFrame, order_by: str = "ord", within: int | None = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id) from gaps(segment_id, term, ord, gap): running sums, the inverse of gap_rows()."""
     rows = _before(gaps.select("segment_id", "term", order_by, "gap"), order_by, F.col("gap"), False, within)
     return rows.select("segment_id", "term", (F.col("before") + F.col("gap")).alias("doc_id"))
