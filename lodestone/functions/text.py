@@ -40,6 +40,21 @@ def normalize(raw: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(raw, NOT_IN_TERM, ""), "Σ", "σ"))
 
 
+#: What stands for characters that are in no term; itself one of them.
+NO_TERM = "\u0001"
+
+
+def marked(text: Column) -> Column:
+    """A text in lower case with a mark for each character that is in no term nor white space: normalize() of all its tokens at once, up to the marks."""
+    kept = F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]", NO_TERM)
+    return F.lower(F.translate(kept, "Σ", "σ"))
+
+
+def unmarked(token: Column) -> Column:
+    """The term of a token of a marked() text."""
+    return F.replace(token, F.lit(NO_TERM), F.lit(""))
+
+
 def indexable(path: Column) -> Column:
     """Whether the last extension is one of the indexed ones; a dot file has none."""
     extension = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import gap_encode, varint_length
-from ..functions.text import normalize, raw_tokens
+from ..functions.text import marked, normalize, raw_tokens, unmarked
 
 #: Rows of a piece of number_rows(), and the most pieces, whose splits are on the driver.
 PIECE_ROWS, MOST_PIECES = 1_000_000, 2_000
@@ -60,7 +60,7 @@ def text_postings(docs: DataFrame, text: str = "text", buckets: int | None = Non
     one = (found.repartition(buckets, "doc_id") if buckets else deal(found)).groupBy(*key).agg(F.collect_list(text).alias("_texts"))
 
     def own(t: Column) -> Column:
-        found = F.transform(raw_tokens(t), lambda raw, i: F.struct(normalize(raw).alias("term"), i.cast("long").alias("pos")))
+        found = F.transform(raw_tokens(marked(t)), lambda raw, i: F.struct(unmarked(raw).alias("term"), i.cast("long").alias("pos")))
         return F.filter(found, lambda w: w["term"] != "")
 
     rows = one.select(*key, F.sort_array(F.flatten(F.transform("_texts", own))).alias("_s"))

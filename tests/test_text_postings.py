@@ -55,3 +55,17 @@ def test_a_stored_segment_is_made_from_texts(spark, docs, tmp_path, monkeypatch)
     want = index.postings(index.tokens(own)).select("term", "doc_id", "positions")
     got = store.read("postings").select("term", "doc_id", "positions")
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_texts_are_normalized_once(spark):
+    """Terms of a marked text are those of its tokens; before, each token went through a regular expression of its own."""
+    from lodestone.functions import text
+
+    odd = ["ΟΔΟΣ ΣΑΣ. Σ a\u0001b \u0001 İstanbul ǅ ﬃ", "x y z　-​!", "a1²³ ½ Ⅷ é é \U0001d54f\U0001f600 don't", "", " \t\n", None, "\u0085a\u001cb c", "ẞß ŉ ΑΣ́ Σ1Σ_Σ"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows = rows.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(index.F.col("text").alias("t")))
+    one = index.F.transform(text.raw_tokens(index.F.col("t")), text.normalize)
+    all_at_once = index.F.transform(text.raw_tokens(text.marked(index.F.col("t"))), text.unmarked)
+    assert rows.where(~one.eqNullSafe(all_at_once)).count() == 0
+    plan = index.text_postings(q.docs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(translate(regexp_replace(" in plan
