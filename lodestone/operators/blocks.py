@@ -102,11 +102,14 @@ def replica_fallback(blocks: DataFrame, replicas: DataFrame, readable: DataFrame
 
     status: ok, no_replicas (none listed) or unreadable (none of those listed).
     """
-    seen = readable.select("id", "node_id").distinct().withColumn("there", F.lit(True))
-    tried = blocks.select("path", "idx", "id").join(replicas, ["path", "idx"], "left").join(seen, ["id", "node_id"], "left")
-    best = F.min(F.when(F.col("there"), F.struct("ord", "node_id"))).alias("best")
-    picked = tried.groupBy("path", "idx", "id").agg(best, F.count("node_id").alias("listed"))
-    status = F.when(F.col("best").isNotNull(), "ok").when(F.col("listed") == 0, "no_replicas").otherwise("unreadable")
+    # a row a block and a row an id, put together within tasks before they are shuffled: a block has few replicas, an id few nodes
+    own = blocks.groupBy("path", "idx").agg(F.collect_set(F.struct("id")).alias("ids"))
+    listed = replicas.where("node_id IS NOT NULL").groupBy("path", "idx").agg(F.collect_list(F.struct("ord", "node_id")).alias("r"))
+    there = readable.groupBy("id").agg(F.collect_set("node_id").alias("there"))
+    tried = own.join(listed, ["path", "idx"], "left").select("path", "idx", "r", F.explode("ids").alias("i")).select("path", "idx", "i.id", "r").join(there, "id", "left")
+    best = F.array_min(F.filter("r", lambda x: F.array_contains("there", x["node_id"])))
+    picked = tried.select("path", "idx", "id", best.alias("best"), F.coalesce(F.size("r"), F.lit(0)).alias("listed"))
+    status = F.when(F.col("best").isNotNull(), "ok").when(F.col("listed") <= 0, "no_replicas").otherwise("unreadable")
     return picked.select("path", "idx", "id", F.col("best.node_id").alias("node_id"), status.alias("status"))
 
 
