@@ -90,8 +90,9 @@ class BlockStore(KeyedTable):
     def put(self, rows: DataFrame) -> int:
         """Null data is an error. Of several rows of one id that with the smallest checksum is stored."""
         data = F.coalesce("data", F.raise_error(F.lit("null block data")).cast("binary"))
-        once = rows.select("id", F.struct(F.sha2(data, 256).alias("checksum"), data.alias("data")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
-        return super().put(once.select("id", "b.data", F.octet_length("b.data").cast("long").alias("size"), "b.checksum"))
+        # 32 bytes a checksum, in the order of its digits
+        once = rows.select("id", F.struct(F.unhex(F.sha2(data, 256)).alias("sum"), data.alias("data")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
+        return super().put(once.select("id", "b.data", F.octet_length("b.data").cast("long").alias("size"), F.lower(F.hex("b.sum")).alias("checksum")))
 
     def _one(self, block_id: str) -> DataFrame:
         if not block_id:
@@ -108,8 +109,16 @@ class BlockStore(KeyedTable):
         return bool(block_id) and self._one(block_id).select("id").first() is not None
 
     def stat(self) -> DataFrame:
-        """(id, size, checksum), both from the bytes as they are stored now."""
-        return self.read().select("id", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("checksum"))
+        """(id, size, checksum), both from the bytes as they are stored now, hashed where they are read: no bytes are shuffled."""
+        now = [F.octet_length("data").cast("long").alias("size"), F.unhex(F.sha2("data", 256)).alias("sum")]
+        shown = ["id", "size", F.lower(F.hex("sum")).alias("checksum")]
+        rows = self._read("put", self.columns).select("id", "v", F.lit(True).alias("there"), *now)
+        if len(self._versions("put")) < 2 and not self._versions("gone"):
+            return rows.select(*shown)
+        none = [F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("sum")]
+        gone = self._read("gone", "id string").select("id", "v", F.lit(False).alias("there"), *none)
+        last = rows.unionByName(gone).groupBy("id").agg(F.max(F.struct("v", "there", "size", "sum")).alias("m"))
+        return last.where("m.there").select("id", "m.size", "m.sum").select(*shown)
 
     def usage(self) -> DataFrame:
         """One row: capacity, used, blocks."""
