@@ -18,6 +18,8 @@ PIECE_ROWS, MOST_PIECES = 1_000_000, 2_000
 RANGE_ROWS = 1 << 20
 #: Bytes of text whose postings a task sorts by term: some ten times that in its memory.
 TERM_BYTES = 16 << 20
+#: A term's ids that differ in these low bits only are one list where postings are dealt by term: 1024 ids at most.
+LIST_BITS = 10
 
 
 def deal(docs: DataFrame) -> DataFrame:
@@ -50,14 +52,20 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("segment_id", "term", "doc_id").agg(positions)
 
 
-def text_postings(docs: DataFrame, text: str = "text", buckets: int | None = None) -> DataFrame:
+def text_postings(docs: DataFrame, text: str = "text", buckets: int | None = None, blocks: int | None = None) -> DataFrame:
     """postings() of docs(segment_id, doc_id, text), with tf and doc_len, made within each document: no token is shuffled or sorted with others'.
 
     Texts are shuffled once, as rows of one (segment_id, doc_id) are one document. A document's tokens sorted by term and position
     are runs of one term; a run is a posting. buckets: deal by doc_id to so many, as a bucketed table of one segment wants it.
+    blocks: deal to so many tasks by (segment_id, _block), the high bits of doc_id, and give _block, too.
     """
     key, found = ["segment_id", "doc_id"], docs.select("segment_id", "doc_id", text)
-    one = (found.repartition(buckets, "doc_id") if buckets else deal(found)).groupBy(*key).agg(F.collect_list(text).alias("_texts"))
+    if blocks:
+        key, found = ["segment_id", "_block", "doc_id"], found.withColumn("_block", F.shiftright(F.col("doc_id").cast("long"), LIST_BITS))
+        dealt = found.repartition(blocks, "segment_id", "_block")
+    else:
+        dealt = found.repartition(buckets, "doc_id") if buckets else deal(found)
+    one = dealt.groupBy(*key).agg(F.collect_list(text).alias("_texts"))
 
     def own(t: Column) -> Column:
         found = F.transform(raw_tokens(marked(t)), lambda raw, i: F.struct(unmarked(raw).alias("term"), i.cast("long").alias("pos")))
@@ -74,7 +82,7 @@ def text_postings(docs: DataFrame, text: str = "text", buckets: int | None = Non
 
     # exploded where they are made: of a column, Spark would test the size by making all of it again for each token. The rows don't carry _s
     rows = rows.select(*key, "doc_len", F.explode(F.transform("_first", run)).alias("_p"))
-    return rows.select("segment_id", "_p.term", "doc_id", "_p.positions", "_p.tf", "doc_len")
+    return rows.select("segment_id", "_p.term", "doc_id", "_p.positions", "_p.tf", "doc_len", *key[1:-1])
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -130,7 +138,8 @@ def inspect_segments(meta: DataFrame) -> DataFrame:
 
 
 def _ranges(order_by: str, within: int) -> Column:
-    return F.floor(F.col(order_by) / within)
+    """Never null: a join would look for nulls on one side below its shuffle, which then couldn't be used for both sides."""
+    return F.coalesce(F.floor(F.col(order_by) / within), F.lit(-1 << 62))
 
 
 def term_ranges(docs: DataFrame) -> int | None:
@@ -138,14 +147,37 @@ def term_ranges(docs: DataFrame) -> int | None:
     return None if docs.count() <= RANGE_ROWS else RANGE_ROWS
 
 
-def by_term(postings: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """postings dealt out by (segment_id, term) to as many tasks as the texts need, whatever shuffles are dealt into.
+def term_tasks(docs: DataFrame, text: str = "text") -> int:
+    """As many tasks as the texts need, whatever shuffles are dealt into."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TERM_BYTES))
+
+
+def by_term(postings: DataFrame, docs: DataFrame, text: str = "text", within: int | None = None) -> DataFrame:
+    """postings dealt out by (segment_id, term), within: and _range of doc_id, to term_tasks().
 
-    Windows and groups of a segment's term then need no other shuffle.
+    Windows and groups of a segment's term, or of its ranges, then need no other shuffle.
     """
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(max(n, -(-size // TERM_BYTES)), "segment_id", "term")
+    if within:
+        postings = postings.withColumn("_range", _ranges("doc_id", within))
+    return postings.repartition(term_tasks(docs, text), "segment_id", "term", *(["_range"] if within else []))
+
+
+def ids_by_term(docs: DataFrame, text: str = "text", within: int | None = None) -> DataFrame:
+    """by_term() of docs' postings without positions: a list of at most 2^LIST_BITS neighbouring ids is shuffled, not a row an id.
+
+    Texts are dealt by blocks of ids, so a block's lists are made where its postings are. An id in a list is its low bits.
+    """
+    n, size = term_tasks(docs, text), 1 << LIST_BITS
+    posts = text_postings(docs, text, blocks=n)
+    low = F.col("doc_id").cast("long").bitwiseAND(F.lit(size - 1)).cast("short")
+    lists = posts.groupBy("segment_id", "_block", "term").agg(F.collect_list(low).alias("_ids"))  # a block's ids of a term
+    by = ["segment_id", "term"]
+    if within:
+        by, lists = [*by, "_range"], lists.withColumn("_range", _ranges("_block", max(1, within // size)))
+    # a row without an id stays one
+    rows = lists.repartition(n, *by).select(*by, "_block", F.explode_outer("_ids").alias("_low"))
+    return rows.select(*by, (F.shiftleft("_block", LIST_BITS) + F.col("_low")).alias("doc_id"))
 
 
 def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: int | None) -> DataFrame:
@@ -153,13 +185,15 @@ def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: i
 
     A term of all documents isn't one task's: rows are worked on in ranges of `within` numbers of order_by, and what a range leaves is
     carried to the next ones over one row a range. order_by is unique within a term. Without ranges a term is a task's: one pass.
+    Rows that were dealt by _range have it and keep it; only the rows of ranges are shuffled then.
     """
     key = ["segment_id", "term"]
     if within is None:
         whole = Window.partitionBy(*key).orderBy(order_by)
         found = F.lag(value).over(whole) if last else F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, -1))
         return rows.withColumn("before", F.coalesce(found, F.lit(0).cast("long")))
-    rows = rows.withColumn("_range", _ranges(order_by, within)).withColumn("_value", value)
+    ranged = "_range" in rows.columns
+    rows = (rows if ranged else rows.withColumn("_range", _ranges(order_by, within))).withColumn("_value", value)
     inside = Window.partitionBy(*key, "_range").orderBy(order_by)
     total = F.max_by("_value", order_by) if last else F.sum("_value")
     per = rows.groupBy(*key, "_range").agg(total.alias("_total"))
@@ -173,7 +207,11 @@ def _before(rows: DataFrame, order_by: str, value: Column, last: bool, within: i
     joined = rows.withColumn("_own", own).join(per, [*key, "_range"])
     zero = F.lit(0).cast("long")
     before = F.coalesce("_own", "_carried", zero) if last else F.coalesce("_own", zero) + F.coalesce("_carried", zero)
-    return joined.withColumn("before", before).drop("_range", "_value", "_own", "_carried")
+    return joined.withColumn("before", before).drop("_value", "_own", "_carried", *([] if ranged else ["_range"]))
+
+
+def _dealt(rows: DataFrame) -> list[str]:
+    return [c for c in ("segment_id", "term", "_range") if c in rows.columns]
 
 
 def own_size(positions: Column) -> Column:
@@ -188,7 +226,7 @@ def postings_size(postings: DataFrame, within: int | None = RANGE_ROWS) -> DataF
     postings with positions, or with own in their place, their own_size(): positions needn't be shuffled.
     """
     if "own" not in postings.columns:
-        postings = postings.select("segment_id", "term", "doc_id", own_size(F.col("positions")).alias("own"))
+        postings = postings.select(*_dealt(postings), "doc_id", own_size(F.col("positions")).alias("own"))
     rows = _before(postings, "doc_id", F.col("doc_id"), True, within)
     size = varint_length(F.col("doc_id") - F.col("before")) + F.col("own")
     sized = rows.select("segment_id", "term", size.alias("bytes")).groupBy("segment_id", "term")
@@ -227,13 +265,13 @@ def _piece_of(value: Column, cuts: list[str], first: int) -> Column:
 
 def gap_rows(postings: DataFrame, within: int | None = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id, gap): gaps of the ids of a term, a row each, so that no list of a common term is built."""
-    rows = _before(postings.select("segment_id", "term", "doc_id"), "doc_id", F.col("doc_id"), True, within)
-    return rows.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.col("before")).alias("gap"))
+    rows = _before(postings.select(*_dealt(postings), "doc_id"), "doc_id", F.col("doc_id"), True, within)
+    return rows.select(*_dealt(rows), "doc_id", (F.col("doc_id") - F.col("before")).alias("gap"))
 
 
 def ungap_rows(gaps: DataFrame, order_by: str = "ord", within: int | None = RANGE_ROWS) -> DataFrame:
     """(segment_id, term, doc_id) from gaps(segment_id, term, ord, gap): running sums, the inverse of gap_rows()."""
-    rows = _before(gaps.select("segment_id", "term", order_by, "gap"), order_by, F.col("gap"), False, within)
+    rows = _before(gaps.select(*_dealt(gaps), order_by, "gap"), order_by, F.col("gap"), False, within)
     return rows.select("segment_id", "term", (F.col("before") + F.col("gap")).alias("doc_id"))
 
 

@@ -191,10 +191,6 @@ GAPS = "list_transform(range(len({0})), lambda i: {0}[i + 1] - coalesce({0}[i],
 GAP_ROWS = POSTINGS + ", gaps AS (SELECT segment_id, term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term ORDER BY doc_id) AS gap FROM postings)"
 
 
-def _ids_by_term(spark, d):
-    return index.by_term(postings(spark, d).select("segment_id", "term", "doc_id"), docs(spark, d))
-
-
 def _joined(c):
     return F.array_join(c.cast("array<string>"), " ")
 
@@ -202,13 +198,14 @@ def _joined(c):
 @query(f"WITH {GAP_ROWS} SELECT segment_id, term, doc_id, gap FROM gaps")
 def doc_gap_encode(spark, d):
     """A row an id: a common term's list isn't built."""
-    return index.gap_rows(_ids_by_term(spark, d), index.term_ranges(docs(spark, d)))
+    within = index.term_ranges(docs(spark, d))
+    return index.gap_rows(index.ids_by_term(docs(spark, d), within=within), within).select("segment_id", "term", "doc_id", "gap")
 
 
 @query(f"WITH {POSTINGS} SELECT segment_id, term, doc_id FROM postings")
 def doc_gap_decode(spark, d):
     within = index.term_ranges(docs(spark, d))
-    return index.ungap_rows(index.gap_rows(_ids_by_term(spark, d), within), "doc_id", within)
+    return index.ungap_rows(index.gap_rows(index.ids_by_term(docs(spark, d), within=within), within), "doc_id", within)
 
 
 @query(f"WITH {POSTINGS} SELECT segment_id, term, doc_id, array_to_string({GAPS.format('positions')}, ' ') AS gaps FROM postings")
@@ -232,7 +229,8 @@ own AS (SELECT segment_id, term, {_varint('g')} + {_varint('tf')} + list_sum(lis
 SELECT segment_id, term, CAST(sum(b) + {_varint('count(*)')} AS BIGINT) AS bytes FROM own GROUP BY 1, 2""")
 def postings_size(spark, d):
     own = postings(spark, d).select("segment_id", "term", "doc_id", index.own_size(F.col("positions")).alias("own"))
-    return index.postings_size(index.by_term(own, docs(spark, d)), index.term_ranges(docs(spark, d)))
+    within = index.term_ranges(docs(spark, d))
+    return index.postings_size(index.by_term(own, docs(spark, d), within=within), within)
 
 
 @query("""SELECT 'seg_' || lpad(CAST(max(doc_id % 4 + 1) + 1 AS VARCHAR), 6, '0') AS segment_id FROM documents""")
